@@ -185,18 +185,25 @@ def _indented_lines(files: DataFrame) -> DataFrame:
     return kept.withColumn("text", F.when(F.col("start").isNotNull(), F.col("text")))
 
 
+def braced_functions(files: DataFrame) -> DataFrame:
+    lines = _numbered(files.where(~F.col("lang_id").isin(*INDENTED)))
+    lines = lines.withColumn("start", function_name(F.col("text"), F.col("lang_id"))).withColumn(
+        "decisions", decision_count(F.col("text"), F.col("lang_id")))
+    return brace_extent(lines, ["decisions"])
+
+
+def indented_functions(files: DataFrame) -> DataFrame:
+    return indent_extent(_indented_lines(files), ["decisions"])
+
+
 def extract_functions(files: DataFrame) -> DataFrame:
     """Functions with name, extent, length and cyclomatic complexity."""
-    braced = _numbered(files.where(~F.col("lang_id").isin(*INDENTED)))
-    braced = braced.withColumn("start", function_name(F.col("text"), F.col("lang_id"))).withColumn(
-        "decisions", decision_count(F.col("text"), F.col("lang_id")))
-    ends = brace_extent(braced, ["decisions"])
     fallback = F.least(F.col("line_no") + UNCLOSED_LINES - 1, "n_lines")
-    by_brace = ends.select(
+    by_brace = braced_functions(files).select(
         "path", "lang_id", "line_no", "text", F.col("start").alias("name"),
         F.coalesce("closed", fallback).alias("end_line"),
         (F.coalesce("decisions_closed", "decisions_50") - F.col("decisions_before") + 1).alias("complexity"))
-    by_indent = indent_extent(_indented_lines(files), ["decisions"]).select(
+    by_indent = indented_functions(files).select(
         "path", "lang_id", "line_no", "text", F.col("start").alias("name"), "end_line",
         (F.col("decisions") + 1).alias("complexity"))
     both = by_brace.unionByName(by_indent)
@@ -253,9 +260,27 @@ def async_no_error_handling(files: DataFrame) -> DataFrame:
     return slim(found, "X03", args=[F.col("name")], ord=F.col("k"))
 
 
-def switch_no_default(files: DataFrame) -> DataFrame:
+def switch_bodies(files: DataFrame) -> DataFrame:
     switch = java_regex(r"\bswitch\s*\(")
     lines = _numbered(files.where(F.col("content").rlike(switch)))
     lines = lines.withColumns({"start": F.when(trim_all(F.col("text")).rlike(switch), F.lit("")),
                                "defaults": _has(F.col("text"), "default:") + _has(F.col("text"), "default :")})
-    return slim(brace_body(lines, ["defaults"]).where(F.col("defaults") == 0), "X05")
+    return brace_body(lines, ["defaults"])
+
+
+def switch_no_default(files: DataFrame) -> DataFrame:
+    return slim(switch_bodies(files).where(F.col("defaults") == 0), "X05")
+
+
+def window_prefix_counts(files: DataFrame) -> DataFrame:
+    """Running counts through each line; a body's content is the difference of two of them.
+
+    The extents above carry these sums themselves, for the lines they need.
+    """
+    text = F.col("text")
+    counts = _numbered(files).select(
+        "path", "line_no", decision_count(text, F.col("lang_id")).alias("decisions"), _has(text, "await").alias("awaits"),
+        _has(text, "try").alias("tries"), _has(text, ".catch").alias("catches"),
+        (_has(text, "default:") + _has(text, "default :")).alias("defaults"))
+    so_far = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    return counts.select("path", "line_no", *[F.sum(c).over(so_far).alias(c) for c in counts.columns[2:]])
