@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lintlake.catalog.rules import DECISIONS, FUNCTION_STARTS, JS_TS
 from lintlake.config import ReviewConfig
 from lintlake.functions.regex import java_regex
-from lintlake.functions.text import indent_of, mark_matches, marked_names, split_lines, trim_all, unmarked
-from lintlake.operators.findings import slim
+from lintlake.functions.text import MARK_OPEN, indent_of, mark_matches, marked_names, split_lines, unmarked
+from lintlake.operators.findings import FIND, existing, find, from_arrays, slim, wanted
 
 INDENTED = ("python", "ruby")
 ASYNC = r"async\s+(?:function\s+)?(\w+)"
@@ -68,13 +68,13 @@ def _numbered(files: DataFrame) -> DataFrame:
         "path", "lang_id", "n_lines", (F.col("i") + 1).alias("line_no"), "text")
 
 
-def brace_extent(lines: DataFrame, counts: list[str]) -> DataFrame:
+def brace_extent(lines: DataFrame, counts: dict[str, int]) -> DataFrame:
     """Ends of the blocks that start on lines with a non-null ``start``.
 
-    lines: path, lang_id, line_no, n_lines, text, start, and integer columns ``counts``.
-    Result: one row per start with ``closed`` (line of the closing brace, null if never closed) and
-    for each count c: ``c_before`` (lines above the start), ``c_closed`` (through the closing line),
-    ``c_50`` and ``c_200`` (through the 50th and the 200th line of the block).
+    lines: path, lang_id, line_no, n_lines, text, start, and one integer column per key of ``counts``, whose
+    value is a number of lines. Result: one row per start with ``closed`` (line of the closing brace, null if
+    never closed) and for each count c its sum over the lines above the start (``c_before``), through the
+    closing line (``c_closed``) and through that many lines from the start on (``c_reach``).
     """
     braces = F.regexp_extract_all("text", F.lit(r"[{}]"), 0)
     rows = lines.withColumn("braces", braces)
@@ -85,11 +85,10 @@ def brace_extent(lines: DataFrame, counts: list[str]) -> DataFrame:
 
     by_line = W.partitionBy("path").orderBy("line_no")
     sums = {}
-    for c in counts:
-        for name, last in (("before", -1), ("here", 0), ("50", UNCLOSED_LINES - 1), ("200", BODY_LINES - 1)):
-            frame = by_line.rangeBetween(W.unboundedPreceding, last)
-            sums[f"{c}_{name}"] = F.coalesce(F.sum(c).over(frame), F.lit(0))
-    rows = rows.withColumns(sums) if sums else rows
+    for c, reach in counts.items():
+        sums[f"{c}_here"] = F.sum(c).over(by_line.rangeBetween(W.unboundedPreceding, 0))
+        sums[f"{c}_reach"] = F.sum(c).over(by_line.rangeBetween(W.unboundedPreceding, reach - 1))
+    rows = rows.withColumns(sums).withColumns({f"{c}_before": F.col(f"{c}_here") - F.col(c) for c in counts})
 
     # a start is an event of its own in front of the braces of its line
     marks = F.when(F.col("start").isNotNull(), F.array_insert("braces", 1, F.lit(""))).otherwise(F.col("braces"))
@@ -114,19 +113,22 @@ def brace_extent(lines: DataFrame, counts: list[str]) -> DataFrame:
     return closed.select(
         "path", "lang_id", "line_no", "n_lines", "text", "start",
         F.when(~never, F.col("end.line_no")).alias("closed"),
-        *[F.col(f"{c}_{n}") for c in counts for n in ("before", "50", "200")],
+        *[F.col(f"{c}_{n}") for c in counts for n in ("before", "reach")],
         *[F.when(~never, F.col(f"end.{c}_here")).alias(f"{c}_closed") for c in counts])
 
 
 def brace_body(lines: DataFrame, counts: list[str]) -> DataFrame:
     """Body of at most 200 lines: ``end_line`` and, per count c, the number ``c`` inside it."""
-    ends = brace_extent(lines, counts)
+    return _bodies(brace_extent(lines, dict.fromkeys(counts, BODY_LINES)), counts)
+
+
+def _bodies(ends: DataFrame, counts: list[str]) -> DataFrame:
     capped = F.least(F.col("line_no") + BODY_LINES - 1, "n_lines")
     inside = F.col("closed") <= capped
     return ends.select(
         "path", "lang_id", "line_no", "text", "start",
         F.when(inside, F.col("closed")).otherwise(capped).alias("end_line"),
-        *[(F.when(inside, F.col(f"{c}_closed")).otherwise(F.col(f"{c}_200")) - F.col(f"{c}_before")).alias(c) for c in counts])
+        *[(F.when(inside, F.col(f"{c}_closed")).otherwise(F.col(f"{c}_reach")) - F.col(f"{c}_before")).alias(c) for c in counts])
 
 
 def indent_extent(lines: DataFrame, counts: list[str]) -> DataFrame:
@@ -189,20 +191,23 @@ def braced_functions(files: DataFrame) -> DataFrame:
     lines = _numbered(files.where(~F.col("lang_id").isin(*INDENTED)))
     lines = lines.withColumn("start", function_name(F.col("text"), F.col("lang_id"))).withColumn(
         "decisions", decision_count(F.col("text"), F.col("lang_id")))
-    return brace_extent(lines, ["decisions"])
+    return brace_extent(lines, {"decisions": UNCLOSED_LINES})
 
 
 def indented_functions(files: DataFrame) -> DataFrame:
     return indent_extent(_indented_lines(files), ["decisions"])
 
 
-def extract_functions(files: DataFrame) -> DataFrame:
-    """Functions with name, extent, length and cyclomatic complexity."""
+def _functions(ends: DataFrame) -> DataFrame:
     fallback = F.least(F.col("line_no") + UNCLOSED_LINES - 1, "n_lines")
-    by_brace = braced_functions(files).select(
-        "path", "lang_id", "line_no", "text", F.col("start").alias("name"),
-        F.coalesce("closed", fallback).alias("end_line"),
-        (F.coalesce("decisions_closed", "decisions_50") - F.col("decisions_before") + 1).alias("complexity"))
+    return ends.select(
+        "path", "lang_id", "line_no", "text", F.col("start").alias("name"), F.coalesce("closed", fallback).alias("end_line"),
+        (F.coalesce("decisions_closed", "decisions_reach") - F.col("decisions_before") + 1).alias("complexity"))
+
+
+def extract_functions(files: DataFrame, by_brace: DataFrame | None = None) -> DataFrame:
+    """Functions with name, extent, length and cyclomatic complexity."""
+    by_brace = _functions(braced_functions(files)) if by_brace is None else by_brace
     by_indent = indented_functions(files).select(
         "path", "lang_id", "line_no", "text", F.col("start").alias("name"), "end_line",
         (F.col("decisions") + 1).alias("complexity"))
@@ -228,43 +233,63 @@ def complex_functions(functions: DataFrame, config: ReviewConfig) -> DataFrame:
     return slim(found, uid, args=[F.col("name"), F.col("complexity"), F.lit(limit)], end_line=F.col("end_line"), ord=F.lit(1))
 
 
-def function_findings(functions: DataFrame, config: ReviewConfig) -> DataFrame:
-    """Both rules over one pass of the functions."""
+def function_hits(name: Column, end_line: Column, size: Column, complexity: Column, config: ReviewConfig) -> Column:
+    """Both function rules as an array of findings on a row with ``line_no`` and ``text``."""
     length, decisions = config.max_function_length, config.max_complexity
-    long = F.when(F.col("line_count") > length, F.struct(
-        F.when(F.col("line_count") > 2 * length, "C01H").otherwise("C01").alias("uid"), F.lit(0).alias("ord"),
-        F.col("line_count").cast("string").alias("value"), F.lit(str(length)).alias("limit")))
-    hard = F.when(F.col("complexity") > decisions, F.struct(
-        F.when(F.col("complexity") > 2 * decisions, "C02H").otherwise("C02").alias("uid"), F.lit(1).alias("ord"),
-        F.col("complexity").cast("string").alias("value"), F.lit(str(decisions)).alias("limit")))
-    found = functions.select("path", "lang_id", "line_no", "end_line", "name", "text",
-                             F.explode_outer(F.array_compact(F.array(long, hard))).alias("hit")).where(F.col("hit").isNotNull())
-    return slim(found, F.col("hit.uid"), args=[F.col("name"), F.col("hit.value"), F.col("hit.limit")],
-                end_line=F.col("end_line"), ord=F.col("hit.ord"))
+
+    def one(uid: str, value: Column, limit: int, ord: int) -> Column:
+        return find(uid, F.col("line_no"), F.col("text"), [name, value, F.lit(limit)], end_line=end_line, ord=ord)
+
+    keep = {uid: wanted(uid, config) for uid in ("C01", "C01H", "C02", "C02H")}
+    no = F.lit(None).cast(FIND)
+    long = F.when(size > 2 * length, one("C01H", size, length, 0) if keep["C01H"] else no).when(
+        size > length, one("C01", size, length, 0) if keep["C01"] else no)
+    hard = F.when(complexity > 2 * decisions, one("C02H", complexity, decisions, 1) if keep["C02H"] else no).when(
+        complexity > decisions, one("C02", complexity, decisions, 1) if keep["C02"] else no)
+    return existing(F.array(long, hard))
 
 
 def _has(text: Column, word: str) -> Column:
     return F.contains(text, F.lit(word)).cast("int")
 
 
-def async_no_error_handling(files: DataFrame) -> DataFrame:
+GUARDS = {"waits": ("await",), "guards": ("try", ".catch"), "defaults": ("default:", "default :")}
+SWITCH = java_regex(r"\bswitch\s*\(")
+
+
+def _counted(*names: str) -> dict[str, Column]:
+    return {n: sum((_has(F.col("text"), w) for w in GUARDS[n][1:]), _has(F.col("text"), GUARDS[n][0])) for n in names}
+
+
+def _async_marked(files: DataFrame) -> DataFrame:
     """A match of ``async name`` may span lines, so matches are marked in the whole text first."""
-    js = files.where(F.col("lang_id").isin(*JS_TS) & F.col("content").rlike(ASYNC) & F.contains("content", F.lit("await")))
-    lines = _numbered(js.withColumn("content", mark_matches(F.col("content"), ASYNC, 1)))
-    names = marked_names(F.col("text"))
-    lines = lines.withColumn("names", names).withColumn("text", unmarked(F.col("text")))
-    lines = lines.withColumns({"start": F.when(F.size("names") > 0, F.col("names")), "waits": _has(F.col("text"), "await"),
-                               "guards": _has(F.col("text"), "try") + _has(F.col("text"), ".catch")}).drop("names")
-    body = brace_body(lines, ["waits", "guards"]).where((F.col("waits") > 0) & (F.col("guards") == 0))
-    found = body.select("path", "lang_id", "line_no", "text", F.posexplode("start").alias("k", "name"))
-    return slim(found, "X03", args=[F.col("name")], ord=F.col("k"))
+    here = F.col("lang_id").isin(*JS_TS) & F.contains("content", F.lit("async")) & F.contains("content", F.lit("await"))
+    return files.withColumn("content", F.when(here, mark_matches(F.col("content"), ASYNC, 1)).otherwise(F.col("content")))
+
+
+def _async_names(lines: DataFrame) -> DataFrame:
+    """``asyncs``: names of the matches that begin on the line (null if none); ``text`` without the marks."""
+    marked = F.contains("text", F.lit(MARK_OPEN)) & F.col("lang_id").isin(*JS_TS)
+    return lines.withColumns({"asyncs": F.when(marked, F.nullif(marked_names(F.col("text")), F.array().cast("array<string>"))),
+                              "text": F.when(marked, unmarked(F.col("text"))).otherwise(F.col("text"))})
+
+
+def _async_findings(bodies: DataFrame) -> DataFrame:
+    risky = bodies.where((F.col("waits") > 0) & (F.col("guards") == 0))
+    found = risky.select("path", "lang_id", "line_no", "text", F.posexplode_outer("start").alias("k", "name"))
+    return slim(found.where(F.col("name").isNotNull()), "X03", args=[F.col("name")], ord=F.col("k"))
+
+
+def async_no_error_handling(files: DataFrame) -> DataFrame:
+    js = files.where(F.col("lang_id").isin(*JS_TS) & F.contains("content", F.lit("async")))
+    lines = _async_names(_numbered(_async_marked(js)))
+    lines = lines.withColumns({"start": F.col("asyncs"), **_counted("waits", "guards")}).drop("asyncs")
+    return _async_findings(brace_body(lines, ["waits", "guards"]))
 
 
 def switch_bodies(files: DataFrame) -> DataFrame:
-    switch = java_regex(r"\bswitch\s*\(")
-    lines = _numbered(files.where(F.col("content").rlike(switch)))
-    lines = lines.withColumns({"start": F.when(trim_all(F.col("text")).rlike(switch), F.lit("")),
-                               "defaults": _has(F.col("text"), "default:") + _has(F.col("text"), "default :")})
+    lines = _numbered(files.where(F.contains("content", F.lit("switch"))))
+    lines = lines.withColumns({"start": F.when(F.col("text").rlike(SWITCH), F.lit("")), **_counted("defaults")})
     return brace_body(lines, ["defaults"])
 
 
@@ -272,6 +297,49 @@ def switch_no_default(files: DataFrame) -> DataFrame:
     return slim(switch_bodies(files).where(F.col("defaults") == 0), "X05")
 
 
+def block_findings(files: DataFrame, config: ReviewConfig, functions: bool, asyncs: bool, switches: bool) -> DataFrame:
+    """All block rules over one read and one shuffle of the braced lines (and one of the indented)."""
+    text = F.col("text")
+    lines = _async_names(_numbered(_async_marked(files) if asyncs else files))
+    braced = ~F.col("lang_id").isin(*INDENTED)
+    start = F.struct(
+        (F.when(braced, function_name(text, F.col("lang_id"))) if functions else F.lit(None).cast("string")).alias("function"),
+        F.col("asyncs").alias("asyncs"), (text.rlike(SWITCH) if switches else F.lit(False)).alias("switch"))
+    counts = {**({"decisions": UNCLOSED_LINES} if functions else {}),
+              **({"waits": BODY_LINES, "guards": BODY_LINES} if asyncs else {}), **({"defaults": BODY_LINES} if switches else {})}
+    columns = _counted(*[c for c in counts if c != "decisions"])
+    if functions:
+        columns["decisions"] = F.when(braced, decision_count(text, F.col("lang_id"))).otherwise(0)
+    any_start = F.col("start.function").isNotNull() | F.col("start.asyncs").isNotNull() | F.col("start.switch")
+    lines = lines.withColumns({"start": start, **columns}).withColumn("start", F.when(any_start, F.col("start"))).drop("asyncs")
+    ends = brace_extent(lines, counts)
+
+    capped = F.least(F.col("line_no") + BODY_LINES - 1, "n_lines")
+
+    def inside(c: str) -> Column:
+        return F.when(F.col("closed") <= capped, F.col(f"{c}_closed")).otherwise(F.col(f"{c}_reach")) - F.col(f"{c}_before")
+
+    # one explode instead of one branch per rule, so that the extents are computed once
+    none = F.array().cast(f"array<{FIND}>")
+    found = []
+    if functions:
+        end = F.coalesce("closed", F.least(F.col("line_no") + UNCLOSED_LINES - 1, "n_lines"))
+        size = end - F.col("line_no") + 1
+        hard = F.coalesce("decisions_closed", "decisions_reach") - F.col("decisions_before") + 1
+        found.append(F.when(F.col("start.function").isNotNull(), function_hits(F.col("start.function"), end, size, hard, config)))
+    if asyncs:
+        found.append(F.when(F.col("start.asyncs").isNotNull() & (inside("waits") > 0) & (inside("guards") == 0), F.transform(
+            "start.asyncs", lambda n, k: find("X03", F.col("line_no"), text, [n], ord=k))))
+    if switches:
+        found.append(F.when(F.col("start.switch") & (inside("defaults") == 0), F.array(find("X05", F.col("line_no"), text))))
+    out = from_arrays(ends, F.concat(*[F.coalesce(f, none) for f in found]))
+    if functions:
+        by_indent = indented_functions(files)
+        size = F.col("end_line") - F.col("line_no") + 1
+        out = out.unionByName(from_arrays(by_indent, function_hits(F.col("start"), F.col("end_line"), size, F.col("decisions") + 1, config)))
+    return out
+
+
 def window_prefix_counts(files: DataFrame) -> DataFrame:
     """Running counts through each line; a body's content is the difference of two of them.
 

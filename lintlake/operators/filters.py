@@ -57,10 +57,13 @@ def filter_framework(findings: DataFrame, active: Column | None = None) -> DataF
     return findings.where(~suppressed_by_framework(F.col("text"), F.col("rule_id"), F.col("lang_id"), active))
 
 
+def filter_whitelists(findings: DataFrame, config: ReviewConfig) -> DataFrame:
+    return filter_whitelist_patterns(filter_whitelist_names(findings, config.whitelisted_functions), config.whitelisted_patterns)
+
+
 def filter_findings(findings: DataFrame, config: ReviewConfig) -> DataFrame:
     out = filter_confidence(filter_severity(findings, config.severity_threshold), config.confidence_threshold)
-    out = filter_whitelist_patterns(filter_whitelist_names(out, config.whitelisted_functions), config.whitelisted_patterns)
-    return filter_framework(out)
+    return filter_framework(filter_whitelists(out, config))
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:

@@ -39,6 +39,29 @@ def slim(df: DataFrame, uid: str | Column, args: list[Column] | None = None, lin
         (ord if ord is not None else F.lit(0)).cast("int").alias("ord"), "text")
 
 
+FIND = "struct<line_no:int,end_line:int,uid:string,args:array<string>,pos:int,ord:int,text:string>"
+
+
+def find(uid: str, line_no: Column, text: Column, args: list[Column] | None = None, end_line: Column | None = None,
+         pos: Column | None = None, ord: Column | int = 0) -> Column:
+    """One finding as a struct, for rules that work on the array of lines of a file."""
+    values = F.array(*[a.cast("string") for a in args]) if args else F.array().cast("array<string>")
+    return F.struct(
+        line_no.cast("int").alias("line_no"), (F.lit(None) if end_line is None else end_line).cast("int").alias("end_line"),
+        F.lit(uid).alias("uid"), values.alias("args"), (line_no if pos is None else pos).cast("int").alias("pos"),
+        (F.lit(ord) if isinstance(ord, int) else ord).cast("int").alias("ord"), text.alias("text"))
+
+
+def existing(found: Column) -> Column:
+    """The array without its nulls."""
+    return F.filter(found, lambda f: f.isNotNull())
+
+
+def from_arrays(rows: DataFrame, found: Column) -> DataFrame:
+    """Slim findings from a column with an array of ``find`` structs."""
+    return rows.select("path", "lang_id", F.inline_outer(found)).where(F.col("uid").isNotNull()).select(*SLIM)
+
+
 def union_findings(parts: list[DataFrame]) -> DataFrame:
     """All analyzers' findings, UNION ALL."""
     return reduce(DataFrame.unionByName, [p.select(*SLIM) for p in parts])
@@ -69,22 +92,37 @@ def rule_dim(spark: SparkSession, rules: list[Rule]) -> DataFrame:
                                             "confidence": pa.float64()})
 
 
+def catalog(spark: SparkSession, config: ReviewConfig) -> DataFrame:
+    rules = active_rules(config)
+    table = rule_dim(spark, rules)
+    return F.broadcast(table) if len(rules) <= MAX_BROADCAST_RULES else table
+
+
+def _filled(name: str) -> Column:
+    out = F.col(name)
+    for n in range(3):
+        out = F.replace(out, F.lit(f"{{{n}}}"), F.coalesce(F.get("args", F.lit(n)), F.lit(f"{{{n}}}")))
+    return F.when(F.size("args") == 0, F.col(name)).otherwise(out)
+
+
+def named(findings: DataFrame, config: ReviewConfig) -> DataFrame:
+    """Slim findings with what filters and dedup look at: rule_id, category, message, seq."""
+    dim = catalog(findings.sparkSession, config).select("uid", "analyzer", "step", "rule_id", "category", "message")
+    return findings.join(dim, "uid").select(
+        *SLIM, "rule_id", "category", _filled("message").alias("message"), F.struct("analyzer", "step", "pos", "ord").alias("seq"))
+
+
+def completed(findings: DataFrame, config: ReviewConfig) -> DataFrame:
+    """Named findings with all columns. Explanations and fixes are the long texts: they come in here,
+    after the last shuffle."""
+    dim = catalog(findings.sparkSession, config).select("uid", "severity", "sev_rank", "confidence", "explanation", "suggested_fix")
+    return findings.join(dim, "uid").select(
+        "path", "lang_id", "line_no", "end_line", "severity", "sev_rank", "category", "message",
+        _filled("explanation").alias("explanation"), _filled("suggested_fix").alias("suggested_fix"), "confidence", "rule_id",
+        "seq", "text")
+
+
 def hydrate(findings: DataFrame, config: ReviewConfig | None = None) -> DataFrame:
     """Slim findings -> full findings."""
     config = config or ReviewConfig()
-    rules = active_rules(config)
-    table = rule_dim(findings.sparkSession, rules)
-    table = F.broadcast(table) if len(rules) <= MAX_BROADCAST_RULES else table
-
-    def filled(name: str) -> Column:
-        out = F.col(name)
-        for n in range(3):
-            out = F.replace(out, F.lit(f"{{{n}}}"), F.coalesce(F.get("args", F.lit(n)), F.lit(f"{{{n}}}")))
-        return F.when(F.size("args") == 0, F.col(name)).otherwise(out)
-
-    joined = findings.join(table, "uid")
-    seq = F.struct("analyzer", "step", "pos", "ord")
-    return joined.select(
-        "path", "lang_id", "line_no", "end_line", "severity", "sev_rank", "category",
-        filled("message").alias("message"), filled("explanation").alias("explanation"),
-        filled("suggested_fix").alias("suggested_fix"), "confidence", "rule_id", seq.alias("seq"), "text")
+    return completed(named(findings, config), config)

@@ -15,7 +15,7 @@ from lintlake.config import ReviewConfig
 from lintlake.functions.regex import escape_literal, java_regex
 from lintlake.functions.text import contains_any
 from lintlake.operators.files import comment_flags
-from lintlake.operators.findings import passing, slim, wanted
+from lintlake.operators.findings import from_arrays, passing, slim, wanted
 
 _SKIP_COLUMN = {"hash": "skip_hash", "html": "skip_html", "hash_blank": "skip_hash_blank", "slashes": "skip_slashes"}
 
@@ -39,16 +39,36 @@ def matches(rule: R.Rule, exact_edges: bool = False) -> Column:
     return condition
 
 
+def hit(uid: str, ord: Column | int, args: list[Column] | None = None, pos: Column | None = None) -> Column:
+    values = F.array(*[a.cast("string") for a in args]) if args else F.array().cast("array<string>")
+    return F.struct(F.lit(uid).alias("uid"), values.alias("args"), (F.col("line_no") if pos is None else pos).cast("int").alias("pos"),
+                    (F.lit(ord) if isinstance(ord, int) else ord).cast("int").alias("ord"))
+
+
+def findings_of(lines: DataFrame, hits: list[Column]) -> DataFrame:
+    """Slim findings from columns that are a ``hit`` or null, evaluated on each line."""
+    if not hits:
+        return slim(lines.where(F.lit(False)), "")
+    found = comment_flags(lines).select("path", "lang_id", "line_no", "text", F.explode_outer(F.array_compact(F.array(*hits))).alias("hit"))
+    return found.where(F.col("hit").isNotNull()).select(
+        "path", "lang_id", "line_no", F.lit(None).cast("int").alias("end_line"), "hit.uid", "hit.args", "hit.pos", "hit.ord", "text")
+
+
+def findings_with(rows: DataFrame, hits: list[Column]) -> DataFrame:
+    """Rows are lines, or carry ``found``: ready findings of the whole file (then the line is empty)."""
+    own = F.transform(F.array_compact(F.array(*hits)), lambda h: F.struct(
+        F.col("line_no").cast("int").alias("line_no"), F.lit(None).cast("int").alias("end_line"), h["uid"].alias("uid"),
+        h["args"].alias("args"), h["pos"].alias("pos"), h["ord"].alias("ord"), F.col("text").alias("text")))
+    return from_arrays(comment_flags(rows), F.coalesce("found", own) if hits else F.col("found"))
+
+
+def catalog_hits(rules: list[R.Rule], exact_edges: bool = False) -> list[Column]:
+    return [F.when(matches(r, exact_edges), hit(r.uid, n)) for n, r in enumerate(rules) if r.langs is None or r.langs]
+
+
 def scan_rules(lines: DataFrame, rules: list[R.Rule], exact_edges: bool = False) -> DataFrame:
     """Slim findings of ``rules`` that need no values in their texts."""
-    flagged = comment_flags(lines)
-    rules = [r for r in rules if r.langs is None or r.langs]
-    if not rules:
-        return slim(flagged.where(F.lit(False)), "")
-    hits = F.array(*[F.when(matches(r, exact_edges), F.struct(F.lit(r.uid).alias("uid"), F.lit(n).alias("ord")))
-                     for n, r in enumerate(rules)])
-    found = flagged.select("path", "lang_id", "line_no", "text", F.explode_outer(F.array_compact(hits)).alias("hit")).where(F.col("hit").isNotNull())
-    return slim(found, F.col("hit.uid"), ord=F.col("hit.ord"))
+    return findings_of(lines, catalog_hits(rules, exact_edges))
 
 
 def scan_security(lines: DataFrame, config: ReviewConfig | None = None) -> DataFrame:
@@ -71,49 +91,56 @@ def forbidden_rules(config: ReviewConfig) -> list[tuple[str, str]]:
     return [(name, java_regex(r"\b" + escape_literal(name) + r"\s*\(", exact_edges=True)) for name in config.forbidden_functions]
 
 
+def forbidden_hits(config: ReviewConfig) -> list[Column]:
+    """All lines for one name are reported before all lines for the next."""
+    return [F.when(~F.col("skip_hash") & F.contains("text", F.lit(n)) & F.col("text").rlike(p),
+                   hit("A14", F.col("line_no"), [F.lit(n)], pos=F.lit(i))) for i, (n, p) in enumerate(forbidden_rules(config))]
+
+
 def scan_forbidden(lines: DataFrame, config: ReviewConfig) -> DataFrame:
-    names = forbidden_rules(config)
-    if not names:
-        return slim(lines.where(F.lit(False)), "A14")
-    flagged = comment_flags(lines).where(~F.col("skip_hash") & contains_any(F.col("text"), [n for n, _ in names]))
-    hits = F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(n).alias("name"), F.lit(i).alias("i")))
-                     for i, (n, p) in enumerate(names)])
-    found = flagged.select("path", "lang_id", "line_no", "text", F.explode_outer(F.array_compact(hits)).alias("hit")).where(F.col("hit").isNotNull())
-    # all lines for one name come before all lines for the next
-    return slim(found, "A14", args=[F.col("hit.name")], pos=F.col("hit.i"), ord=F.col("line_no"))
+    return findings_of(lines, forbidden_hits(config))
 
 
 def _plain_style(config: ReviewConfig | None) -> list[R.Rule]:
     return [r for r in passing(R.STYLE_RULES, config) if r.uid != "A07"]
 
 
+def magic_hits() -> list[Column]:
+    magic = R.BY_UID["A07"]
+    number = F.regexp_extract("text", java_regex(magic.pattern), 1)
+    return [F.when(F.col("family").isin(*magic.families) & (number != "") & ~number.isin(*R.MAGIC_ALLOWED),
+                   hit("A07", len(R.STYLE_RULES), [number]))]
+
+
 def scan_line_style(lines: DataFrame, config: ReviewConfig | None = None) -> DataFrame:
-    out = scan_rules(lines, _plain_style(config))
-    if wanted("A07", config):
-        magic = R.BY_UID["A07"]
-        number = F.regexp_extract("text", java_regex(magic.pattern), 1)
-        found = lines.where(F.col("family").isin(*magic.families)).withColumn("number", number)
-        found = found.where((F.col("number") != "") & ~F.col("number").isin(*R.MAGIC_ALLOWED))
-        out = out.unionByName(slim(found, "A07", args=[F.col("number")], ord=F.lit(len(R.STYLE_RULES))))
-    return out
+    extra = magic_hits() if wanted("A07", config) else []
+    return findings_of(lines, catalog_hits(_plain_style(config)) + extra)
+
+
+def todo_hits() -> list[Column]:
+    pattern, trimmed = java_regex(R.TODO_PATTERN, ignore_case=True), F.col("trimmed")
+    tag, rest = F.upper(F.regexp_extract(trimmed, pattern, 1)), F.substring(F.regexp_extract(trimmed, pattern, 2), 1, 80)
+    comment = F.contains(trimmed, F.lit("//")) | F.contains(trimmed, F.lit("#")) | F.contains(trimmed, F.lit("*"))
+    return [F.when(comment & trimmed.rlike(pattern), hit("A12", 1, [tag, rest]))]
 
 
 def scan_todo(lines: DataFrame) -> DataFrame:
-    pattern = java_regex(R.TODO_PATTERN, ignore_case=True)
-    trimmed = comment_flags(lines).where(F.col("trimmed").rlike(pattern))
-    tag = F.upper(F.regexp_extract("trimmed", pattern, 1))
-    rest = F.substring(F.regexp_extract("trimmed", pattern, 2), 1, 80)
-    return slim(trimmed, "A12", args=[tag, rest], ord=F.lit(1))
+    return findings_of(lines, todo_hits())
+
+
+def naming_hits() -> list[Column]:
+    text, python = F.col("text"), F.col("lang_id") == "python"
+    loop = text.rlike(java_regex(r"\b(?:for|while)\b"))
+
+    def one(gate: Column, pattern: str) -> Column:
+        name = F.regexp_extract(text, pattern, 1)
+        return F.when(gate & (name != "") & ~name.isin(*R.SINGLE_LETTER_ALLOWED) & ~loop, hit("A15", 0, [name]))
+
+    return [one(python, R.SINGLE_LETTER_PYTHON), one(F.col("family") == "c-style", R.SINGLE_LETTER_C)]
 
 
 def scan_naming(lines: DataFrame) -> DataFrame:
-    python = F.col("lang_id") == "python"
-    name = F.when(python, F.regexp_extract("text", R.SINGLE_LETTER_PYTHON, 1)).otherwise(
-        F.regexp_extract("text", R.SINGLE_LETTER_C, 1))
-    found = (lines.where(python | (F.col("family") == "c-style")).withColumn("name", name)
-             .where((F.col("name") != "") & ~F.col("name").isin(*R.SINGLE_LETTER_ALLOWED)
-                    & ~F.col("text").rlike(java_regex(r"\b(?:for|while)\b"))))
-    return slim(found, "A15", args=[F.col("name")])
+    return findings_of(lines, naming_hits())
 
 
 def scan_parseint(lines: DataFrame) -> DataFrame:
@@ -128,23 +155,11 @@ def scan_open_no_with(lines: DataFrame) -> DataFrame:
     return scan_rules(lines, [R.BY_UID["X11"]])
 
 
-def scan_all_lines(lines: DataFrame, config: ReviewConfig) -> DataFrame:
-    """Every single-line rule without values in its texts, in one pass over the lines.
-
-    Same findings as the separate scans: ``ord`` only has to rise along the catalog.
-    """
-    catalog = [*R.SECURITY_RULES, *R.PERFORMANCE_RULES, *R.RUNTIME_RULES]
-    single = [*passing(catalog, config), *_plain_style(config),
-              *passing([R.BY_UID["X02"], R.BY_UID["X08"], R.BY_UID["X11"]], config)]
-    parts = [scan_rules(lines, single), scan_rules(lines, passing(list(config.user_rules), config), exact_edges=True)]
-    if wanted("A07", config):
-        parts.append(scan_line_style(lines, config).where(F.col("uid") == "A07"))
-    for uid, scan in (("A12", scan_todo), ("A15", scan_naming)):
-        if wanted(uid, config):
-            parts.append(scan(lines))
-    if wanted("A14", config):
-        parts.append(scan_forbidden(lines, config))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def all_hits(config: ReviewConfig) -> list[Column]:
+    """Every single-line rule that passes the thresholds; ``ord`` rises along each analyzer's list."""
+    known = [*R.SECURITY_RULES, *R.PERFORMANCE_RULES, *R.RUNTIME_RULES]
+    single = [*passing(known, config), *_plain_style(config), *passing([R.BY_UID[u] for u in ("X02", "X08", "X11")], config)]
+    hits = catalog_hits(single) + catalog_hits(passing(list(config.user_rules), config), exact_edges=True)
+    for uid, more in (("A07", magic_hits), ("A12", todo_hits), ("A15", naming_hits)):
+        hits += more() if wanted(uid, config) else []
+    return hits + (forbidden_hits(config) if wanted("A14", config) else [])

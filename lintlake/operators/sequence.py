@@ -1,21 +1,23 @@
-"""Rules over neighbouring lines.
+"""Rules over the lines of one file in their order.
 
-Bounded frames (the next 4 lines, the 20 before) are read inside the row of the file:
-the array of lines is zipped with shifted copies of itself before it is exploded, so
-they need no shuffle. The one unbounded frame, loop depth, is a window over the few
-lines that can change it.
+A file is one bounded row and its lines are an array in it, so a rule that looks at the
+next four lines, at the twenty before, or keeps a running loop depth is a function of that
+array. None of these rules shuffles or sorts. Each ``*_hits`` gives an array of findings
+and is guarded by the language and a word the file must hold; the review puts them together
+in one pass over the files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintlake.catalog.rules import JS_TS
 from lintlake.functions.regex import java_regex
-from lintlake.functions.text import shifted, split_lines, starts_with_any, trim_all
-from lintlake.operators.findings import slim
+from lintlake.functions.text import let, split_lines, starts_with_any, trim_all
+from lintlake.operators.findings import FIND, existing, find, from_arrays
 
 EXIT = java_regex(r"^(?:return|break|continue|throw|exit|sys\.exit|os\.Exit|panic)\b")
 STILL_REACHED = r"^(?:case|default|catch|except|else|elif|elsif|finally|\}\s*(?:else|catch|finally))"
@@ -23,116 +25,139 @@ AWAIT_DECLARATION = java_regex(r"^(?:const|let|var)\s+\w+\s*=\s*await\b")
 LOOP = java_regex(r"\b(?:for|while|do)\b\s*[\(\{:]")
 
 
-def lines_with_next(files: DataFrame, count: int) -> DataFrame:
-    """Lines with the lines that follow (``next1`` .. ``nextN``, null past the end)."""
-    nexts = [f"next{n}" for n in range(1, count + 1)]
-    base = files.select("path", "lang_id", "family", split_lines(F.col("content")).alias("lines"))
-    zipped = F.arrays_zip(F.col("lines").alias("text"),
-                          *[shifted(F.col("lines"), n).alias(nexts[n - 1]) for n in range(1, count + 1)])
-    rows = base.select("path", "lang_id", "family", zipped.alias("rows")).select(
-        "path", "lang_id", "family", F.posexplode_outer("rows").alias("i", "row"))
-    return rows.select("path", "lang_id", "family", (F.col("i") + 1).alias("line_no"), F.col("row.text").alias("text"),
-                       *[F.col(f"row.{n}").alias(n) for n in nexts]).where(F.col("text").isNotNull())
+def with_lines(files: DataFrame) -> DataFrame:
+    return files.withColumn("lines", split_lines(F.col("content")))
+
+
+def _js() -> Column:
+    return F.col("lang_id").isin(*JS_TS)
+
+
+def _run(files: DataFrame, hits: Callable[[], Column]) -> DataFrame:
+    return from_arrays(with_lines(files), hits())
+
+
+def unreachable_hits() -> Column:
+    """The first of the four lines after an exit that is neither blank, comment nor a lone bracket,
+    unless it begins a branch."""
+    def after(x: Column, i: Column) -> Column:
+        four = F.transform(F.slice("lines", i + 2, 4), lambda t, n: F.struct(
+            (i + n + 2).alias("line_no"), t.alias("text"), trim_all(t).alias("code")))
+        passed = F.filter(four, lambda r: ~r["code"].isin("", "}", ")") & ~starts_with_any(r["code"], ("//", "#", "*")))
+        report = let(F.get(passed, F.lit(0)), lambda r: F.when(
+            r.isNotNull() & ~r["code"].rlike(STILL_REACHED),
+            find("A11", r["line_no"], r["text"], [r["line_no"], i + 1], pos=i + 1)))
+        return F.when(trim_all(x).rlike(EXIT), report)
+
+    return existing(F.transform("lines", after))
 
 
 def win_unreachable(files: DataFrame) -> DataFrame:
-    rows = lines_with_next(files, 4).where(trim_all(F.col("text")).rlike(EXIT))
-    after = F.array(*[F.struct((F.col("line_no") + n).alias("line_no"), F.col(f"next{n}").alias("text"),
-                               trim_all(F.col(f"next{n}")).alias("code")) for n in range(1, 5)])
-    passed = F.filter(after, lambda x: x["code"].isNotNull() & ~x["code"].isin("", "}", ")")
-                      & ~starts_with_any(x["code"], ("//", "#", "*")))
-    first = rows.withColumn("hit", F.get(passed, F.lit(0))).where(
-        F.col("hit").isNotNull() & ~F.col("hit.code").rlike(STILL_REACHED))
-    found = first.select("path", "lang_id", F.col("line_no").alias("origin"), F.col("hit.line_no").alias("line_no"),
-                         F.col("hit.text").alias("text"))
-    return slim(found, "A11", args=[F.col("line_no"), F.col("origin")], pos=F.col("origin"))
+    return _run(files, unreachable_hits)
 
 
-def win_empty_catch(files: DataFrame) -> DataFrame:
+def empty_catch_hits() -> Column:
     """C-style catch blocks and Python except blocks (other languages are recognised, never reported)."""
-    c_style, python = F.col("family") == "c-style", F.col("lang_id") == "python"
-    rows = lines_with_next(files.where(c_style | python), 3).withColumn("trimmed", trim_all(F.col("text")))
-    after = F.array(*[trim_all(F.col(f"next{n}")) for n in (1, 2, 3)])
-    first = F.get(F.filter(after, lambda x: x.isNotNull() & ~x.isin("", "{")), F.lit(0))
-    empty_c = F.col("trimmed").rlike(java_regex(r"\bcatch\s*\(")) & (
-        F.col("trimmed").rlike(r"\{\s*\}") | (F.coalesce(first, F.lit("")) == "}"))
-    empty_py = F.col("trimmed").rlike(java_regex(r"^except\b")) & (F.coalesce(trim_all(F.col("next1")), F.lit("")) == "pass")
-    return slim(rows.where((c_style & empty_c) | (python & empty_py)), "A13")
+    caught = java_regex(r"\bcatch\s*\(")
+
+    def c_style(x: Column, i: Column) -> Column:
+        nexts = F.filter(F.transform(F.slice("lines", i + 2, 3), trim_all), lambda t: ~t.isin("", "{"))
+        empty = x.rlike(r"\{\s*\}") | (F.coalesce(F.get(nexts, F.lit(0)), F.lit("")) == "}")
+        return F.when(x.rlike(caught) & empty, find("A13", i + 1, x))
+
+    def python(x: Column, i: Column) -> Column:
+        passes = trim_all(F.coalesce(F.get("lines", i + 1), F.lit(""))) == "pass"
+        return F.when(trim_all(x).rlike(java_regex(r"^except\b")) & passes, find("A13", i + 1, x))
+
+    return (F.when((F.col("family") == "c-style") & F.contains("content", F.lit("catch")), existing(F.transform("lines", c_style)))
+            .when(F.col("lang_id") == "python", existing(F.transform("lines", python))))
+
+
+def win_empty_catch(files: DataFrame) -> DataFrame:
+    return _run(files, empty_catch_hits)
 
 
-def _js(files: DataFrame) -> DataFrame:
-    return files.where(F.col("lang_id").isin(*JS_TS))
+def sequential_await_hits() -> Column:
+    def pair(x: Column, i: Column) -> Column:
+        following = trim_all(F.coalesce(F.get("lines", i + 1), F.lit("")))
+        return F.when(trim_all(x).rlike(AWAIT_DECLARATION) & following.rlike(AWAIT_DECLARATION), find("X07", i + 1, x))
+
+    return F.when(_js() & F.contains("content", F.lit("await")), existing(F.transform("lines", pair)))
 
 
 def win_sequential_awaits(files: DataFrame) -> DataFrame:
-    rows = lines_with_next(_js(files).where(F.contains("content", F.lit("await"))), 1)
-    return slim(rows.where(trim_all(F.col("text")).rlike(AWAIT_DECLARATION)
-                           & F.coalesce(trim_all(F.col("next1")).rlike(AWAIT_DECLARATION), F.lit(False))), "X07")
+    return _run(files, sequential_await_hits)
+
 
+def _by_context(uid: str, word: str, hit: Callable[[Column], Column], context: Callable[[Column], Column], before: int,
+                own_line: bool, present: bool, ord: int = 0) -> Column:
+    """Lines where ``hit`` holds and (``context`` holds somewhere in the frame before) = ``present``."""
+    def test(flags: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            first = F.greatest(i + 1 - before, F.lit(1))
+            near = F.exists(F.slice(flags, first, i + 1 - first + (1 if own_line else 0)), lambda b: b)
+            return F.when(hit(x) & (near if present else ~near), find(uid, i + 1, x, ord=ord))
 
-def _hits_by_context(files: DataFrame, hit, context, before: int, include_self: bool, wanted: bool) -> DataFrame:
-    """Lines where ``hit`` holds and (some line of the frame before it satisfies ``context``) = ``wanted``.
+        return existing(F.transform("lines", one))
 
-    Both are functions of one line. The array of flags is a column of its own because it is read
-    at several places.
-    """
-    base = files.select("path", "lang_id", split_lines(F.col("content")).alias("lines"))
-    flags = base.withColumn("flags", F.transform("lines", context)).withColumn(
-        "hits", F.filter(F.transform("lines", lambda x, i: F.when(hit(x), F.struct((i + 1).alias("line_no"), x.alias("text")))),
-                         lambda h: h.isNotNull()))
+    return F.when(_js() & F.contains("content", F.lit(word)), let(F.transform("lines", context), test))
 
-    def seen(line_no: Column) -> Column:
-        first = F.greatest(line_no - before, F.lit(1))
-        count = line_no - first + (1 if include_self else 0)
-        return F.exists(F.slice("flags", first, count), lambda b: b)
 
-    kept = F.filter("hits", lambda h: seen(h["line_no"]) if wanted else ~seen(h["line_no"]))
-    return flags.select("path", "lang_id", F.inline_outer(kept)).where(F.col("line_no").isNotNull())
+def json_parse_hits() -> Column:
+    opened = java_regex(r"\btry\s*\{")
+    return _by_context("X01", "JSON.parse", lambda x: x.rlike(r"JSON\.parse\s*\("),
+                       lambda x: x.rlike(opened) | (trim_all(x) == "try:"), 20, True, False)
 
 
 def win_json_parse_no_try(files: DataFrame) -> DataFrame:
-    parse, opened = r"JSON\.parse\s*\(", java_regex(r"\btry\s*\{")
-    rows = _hits_by_context(_js(files).where(F.contains("content", F.lit("JSON.parse"))), lambda x: x.rlike(parse),
-                            lambda x: x.rlike(opened) | (trim_all(x) == "try:"), 20, True, False)
-    return slim(rows, "X01")
+    return _run(files, json_parse_hits)
+
+
+def destructure_hits() -> Column:
+    return _by_context("X06", "[", lambda x: x.rlike(r"(?:const|let)\s*\[.+\]\s*="),
+                       lambda x: F.contains(x, F.lit(".length")) | F.contains(x, F.lit("if (")), 3, False, False, ord=1)
 
 
 def win_destructure_no_check(files: DataFrame) -> DataFrame:
-    declared = r"(?:const|let)\s*\[.+\]\s*="
-    rows = _hits_by_context(_js(files).where(F.col("content").rlike(declared)), lambda x: trim_all(x).rlike(declared),
-                            lambda x: F.contains(x, F.lit(".length")) | F.contains(x, F.lit("if (")), 3, False, False)
-    return slim(rows, "X06", ord=F.lit(1))
+    return _run(files, destructure_hits)
 
 
-def win_timeout_in_loop(files: DataFrame) -> DataFrame:
+def timeout_hits() -> Column:
     timer, loop = java_regex(r"\bsetTimeout\s*\("), java_regex(r"\b(?:for|while|forEach|map)\b")
-    rows = _hits_by_context(_js(files).where(F.contains("content", F.lit("setTimeout"))), lambda x: x.rlike(timer),
-                            lambda x: x.rlike(loop), 5, False, True)
-    return slim(rows, "X10")
+    return _by_context("X10", "setTimeout", lambda x: x.rlike(timer), lambda x: x.rlike(loop), 5, False, True)
+
+
+def win_timeout_in_loop(files: DataFrame) -> DataFrame:
+    return _run(files, timeout_hits)
 
 
 def _count(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch)))
 
 
+def nested_loop_hits() -> Column:
+    """A running depth over the lines that open a loop or close more braces than they open; it never
+    falls below zero. Files with fewer than three loops cannot reach depth three."""
+    moves = F.filter(F.transform("lines", lambda x, i: F.struct(
+        (i + 1).alias("line_no"), F.when(x.rlike(LOOP), 1).otherwise(0).alias("inc"),
+        F.greatest(F.lit(0), _count(x, "}") - _count(x, "{")).alias("dec"), x.alias("text"))),
+        lambda m: (m["inc"] > 0) | (m["dec"] > 0))
+    state = f"struct<depth:int,outer:int,hits:array<{FIND}>>"
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("outer"), F.array().alias("hits")).cast(state)
+
+    def step(acc: Column, m: Column) -> Column:
+        at = acc["depth"] + m["inc"]
+        outer = F.when((m["inc"] == 1) & (at == 1), m["line_no"]).otherwise(acc["outer"])
+        hit = find("P20", m["line_no"], m["text"], [m["line_no"], outer])
+        hits = F.when((m["inc"] == 1) & (at >= 3), F.array_append(acc["hits"], hit)).otherwise(acc["hits"])
+        return F.struct(F.greatest(F.lit(0), at - m["dec"]).alias("depth"), outer.alias("outer"), hits.alias("hits")).cast(state)
+
+    return F.when(F.regexp_count("content", F.lit(LOOP)) >= 3, F.aggregate(moves, zero, step, lambda acc: acc["hits"]))
+
+
 def win_nested_loops(files: DataFrame) -> DataFrame:
-    """Loop depth is a running sum clamped at zero: D = S - least(0, min S) over all lines so far.
-
-    Files with fewer than three loop lines cannot reach depth three; in the others only lines
-    that open a loop or close more braces than they open move the sum, and only they are shuffled.
-    """
-    deep = files.where(F.regexp_count("content", F.lit(LOOP)) >= 3)
-    lines = deep.select("path", "lang_id", F.posexplode_outer(split_lines(F.col("content"))).alias("i", "text")).select(
-        "path", "lang_id", (F.col("i") + 1).alias("line_no"), "text",
-        F.when(F.col("text").rlike(LOOP), 1).otherwise(0).alias("inc"),
-        F.greatest(F.lit(0), _count(F.col("text"), "}") - _count(F.col("text"), "{")).alias("dec"))
-    moves = lines.where((F.col("inc") > 0) | (F.col("dec") > 0)).withColumn(
-        "text", F.when(F.col("inc") > 0, F.col("text")))
-    w = W.partitionBy("path").orderBy("line_no")
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    depth = (moves.withColumn("s", F.sum(F.col("inc") - F.col("dec")).over(so_far))
-             .withColumn("d", F.col("s") - F.least(F.lit(0), F.min("s").over(so_far)))
-             .withColumn("at", F.lag("d", 1, 0).over(w) + F.col("inc"))
-             .withColumn("outer", F.last(F.when((F.col("inc") == 1) & (F.col("at") == 1), F.col("line_no")), True).over(so_far)))
-    found = depth.where((F.col("inc") == 1) & (F.col("at") >= 3))
-    return slim(found, "P20", args=[F.col("line_no"), F.col("outer")])
+    return _run(files, nested_loop_hits)
+
+
+HITS = {"A11": unreachable_hits, "A13": empty_catch_hits, "X07": sequential_await_hits, "X01": json_parse_hits,
+        "X06": destructure_hits, "X10": timeout_hits, "P20": nested_loop_hits}

@@ -10,7 +10,8 @@ from lintlake.catalog.rules import DECLARATIONS, JS_TS
 from lintlake.config import ReviewConfig
 from lintlake.functions.regex import java_regex
 from lintlake.functions.text import MARK_OPEN, any_of, let, mark_matches, marked_names, split_lines
-from lintlake.operators.findings import slim
+from lintlake.operators.findings import existing, find, from_arrays
+from lintlake.operators.sequence import with_lines
 
 ADDED = r"\.addEventListener\s*\(\s*['\"`](\w+)['\"`]"
 REMOVED = r"\.removeEventListener\s*\(\s*['\"`](\w+)['\"`]"
@@ -25,65 +26,73 @@ def declarations(content: Column, lang_id: Column) -> Column:
     return choice
 
 
-def unused_variables(files: DataFrame) -> DataFrame:
+def unused_hits() -> Column:
     """Declared names that occur once in their file.
 
     Tokens and declarations are sorted together by name: a declaration is unused when exactly one
     token stands before it in its run of equal names. Sorting keeps this n log n per file.
     """
-    marked = files.where(F.col("lang_id").isin(*DECLARATIONS)).select(
-        "path", "lang_id", "content", declarations(F.col("content"), F.col("lang_id")).alias("marked"))
-
-    named = F.filter(
-        F.transform(split_lines(F.col("marked")), lambda x, i: F.struct((i + 1).alias("line_no"), marked_names(x).alias("names"))),
-        lambda r: F.size(r["names"]) > 0)
-    declared = F.flatten(F.transform(named, lambda r: F.transform(
-        r["names"], lambda n, k: F.struct(n.alias("name"), r["line_no"].alias("line_no"), k.alias("k")))))
-    declared = F.filter(declared, lambda d: (F.length(d["name"]) > 1) & ~F.startswith(d["name"], F.lit("_")))
-    used = F.transform(F.regexp_extract_all("content", F.lit(r"\w+"), 0),
-                       lambda t: F.struct(t.alias("name"), F.lit(0).alias("line_no"), F.lit(0).alias("k")))
-    run = F.when(F.contains("marked", F.lit(MARK_OPEN)), F.sort_array(F.concat(declared, used)))
-
-    def alone(sorted_run: Column) -> Column:
+    def declared(marked: Column) -> Column:
+        on_lines = F.filter(F.transform(split_lines(marked), lambda x, i: F.struct((i + 1).alias("line_no"), marked_names(x).alias("names"))),
+                            lambda r: F.size(r["names"]) > 0)
+        rows = F.flatten(F.transform(on_lines, lambda r: F.transform(
+            r["names"], lambda n, k: F.struct(n.alias("name"), r["line_no"].alias("line_no"), k.alias("k")))))
+        return F.filter(rows, lambda d: (F.length(d["name"]) > 1) & ~F.startswith(d["name"], F.lit("_")))
+
+    words = F.transform(F.regexp_extract_all("content", F.lit(r"\w+"), 0),
+                        lambda t: F.struct(t.alias("name"), F.lit(0).alias("line_no"), F.lit(0).alias("k")))
+
+    def alone(run: Column) -> Column:
         def test(d: Column, i: Column) -> Column:
-            one, two = F.get(sorted_run, i - 1), F.get(sorted_run, i - 2)
+            one, two = F.get(run, i - 1), F.get(run, i - 2)
             return ((d["line_no"] > 0) & (one["name"] == d["name"]) & (one["line_no"] == 0)
                     & (two.isNull() | (two["name"] != d["name"])))
 
-        return F.filter(sorted_run, test)
+        return F.transform(F.filter(run, test), lambda d: find(
+            "A10", d["line_no"], F.get("lines", d["line_no"] - 1), [d["name"]], ord=d["k"]))
 
-    def with_text(unused: Column) -> Column:
-        rows = let(split_lines(F.col("content")), lambda lines: F.transform(unused, lambda d: F.struct(
-            d["line_no"].alias("line_no"), d["k"].alias("k"), d["name"].alias("name"),
-            F.get(lines, d["line_no"] - 1).alias("text"))))
-        return F.when(F.size(unused) > 0, rows)
+    def runs(marked: Column) -> Column:
+        return F.when(F.contains(marked, F.lit(MARK_OPEN)), let(F.sort_array(F.concat(declared(marked), words)), alone))
 
-    found = marked.select("path", "lang_id", F.inline_outer(let(let(run, alone), with_text))).where(F.col("name").isNotNull())
-    return slim(found, "A10", args=[F.col("name")], ord=F.col("k"))
+    return F.when(F.col("lang_id").isin(*DECLARATIONS), let(declarations(F.col("content"), F.col("lang_id")), runs))
 
 
-def listener_leaks(files: DataFrame) -> DataFrame:
+def unused_variables(files: DataFrame) -> DataFrame:
+    return from_arrays(with_lines(files), unused_hits())
+
+
+def listener_hits() -> Column:
     """Events added and never removed in the file, at the first line that names both."""
-    js = files.where(F.col("lang_id").isin(*JS_TS) & F.contains("content", F.lit("addEventListener")))
     leaked = F.array_except(F.array_distinct(F.regexp_extract_all("content", F.lit(ADDED), 1)),
                             F.regexp_extract_all("content", F.lit(REMOVED), 1))
-    adding = F.filter(F.transform(split_lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text"))),
+    adding = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text"))),
                       lambda r: F.contains(r["text"], F.lit("addEventListener")))
-    first = let(leaked, lambda events: F.when(F.size(events) > 0, let(adding, lambda lines: F.transform(events, lambda e, k: F.struct(
-        e.alias("event"), k.alias("k"), F.get(F.filter(lines, lambda r: F.contains(r["text"], e)), F.lit(0)).alias("at"))))))
-    found = js.select("path", "lang_id", F.inline_outer(first)).where(F.col("at").isNotNull()).select(
-        "path", "lang_id", "event", "k", F.col("at.line_no").alias("line_no"), F.col("at.text").alias("text"))
-    return slim(found, "R20", args=[F.col("event")], pos=F.col("k"))
 
+    def report(events: Column, lines: Column) -> Column:
+        return existing(F.transform(events, lambda e, k: let(
+            F.get(F.filter(lines, lambda r: F.contains(r["text"], e)), F.lit(0)),
+            lambda r: F.when(r.isNotNull(), find("R20", r["line_no"], r["text"], [e], pos=k)))))
 
-def interval_leaks(files: DataFrame) -> DataFrame:
+    found = let(leaked, lambda events: F.when(F.size(events) > 0, let(adding, lambda lines: report(events, lines))))
+    return F.when(F.col("lang_id").isin(*JS_TS) & F.contains("content", F.lit("addEventListener")), found)
+
+
+def listener_leaks(files: DataFrame) -> DataFrame:
+    return from_arrays(with_lines(files), listener_hits())
+
+
+def interval_hits() -> Column:
     content = F.col("content")
-    js = files.where(F.col("lang_id").isin(*JS_TS) & F.contains(content, F.lit("setInterval("))
-                     & ~F.contains(content, F.lit("clearInterval(")))
     line_no = F.size(split_lines(F.substring_index(content, "setInterval(", 1)))
-    found = js.select("path", "lang_id", "content", line_no.alias("line_no")).select(
-        "path", "lang_id", "line_no", F.get(split_lines(content), F.col("line_no") - 1).alias("text"))
-    return slim(found, "X09")
+    leak = F.col("lang_id").isin(*JS_TS) & F.contains(content, F.lit("setInterval(")) & ~F.contains(content, F.lit("clearInterval("))
+    return F.when(leak, F.array(find("X09", line_no, F.get("lines", line_no - 1))))
+
+
+def interval_leaks(files: DataFrame) -> DataFrame:
+    return from_arrays(with_lines(files), interval_hits())
+
+
+HITS = {"A10": unused_hits, "R20": listener_hits, "X09": interval_hits}
 
 
 def first_line(files: DataFrame, word: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.sources.local import spread
+
 ROOT = "/corpus"
 DIRS = ["src", "lib/core", "node_modules/m", "app", "pkg/vendor", "test", "src/ui", "build/out", "app/api", "tools", "lib", "src/db"]
 EXTS = ["js", "ts", "py", "js", "ts", "go", "js", "ts", "py", "java", "rs", "sql", "sh", "rb", "c", "cs", "php", "kt", "py", "txt"]
@@ -65,6 +67,7 @@ BLOCKS = [
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = spread(orders)
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     blocks = F.array(*[F.lit(b) for b in BLOCKS])
     picked = F.transform(F.sequence(F.lit(0), (key % 5).cast("int")), lambda k: F.replace(

@@ -27,3 +27,9 @@ def run_folder(spark: SparkSession, name: str) -> str:
 def small_enough(keys: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a list of slim keys may be broadcast: it is counted, up to the limit."""
     return keys.limit(limit + 1).count() <= limit
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Slim rows that stand for much work each: over all cores when they come in fewer splits."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
