@@ -365,8 +365,8 @@ def detect_frameworks(spark, sf):
 
 @query
 def normalize_structure(spark, sf):
-    trimmed = lines(spark, sf).select("path", "line_no", trim_all(F.col("text")).alias("t")).where(duplicates.counts_for_blocks(F.col("t")))
-    return trimmed.select("path", "line_no", duplicates.normalize_structure(F.col("t")).alias("code"))
+    trimmed = lines(spark, sf).select("path", "line_no", trim_all(F.col("text")).alias("t")).where(duplicates.counts_for_blocks("t"))
+    return trimmed.select("path", "line_no", F.expr(duplicates.normalize_structure("t")).alias("code"))
 
 
 @query

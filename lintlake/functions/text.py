@@ -47,15 +47,6 @@ def split_lines(content: Column) -> Column:
     return F.split(content, "\n")
 
 
-def shifted(lines: Column, by: int) -> Column:
-    return F.slice(lines, F.lit(by + 1), F.greatest(F.size(lines), F.lit(1)))
-
-
-def indent_of(text: Column) -> Column:
-    """Offset of the first non-blank character; -1 for a blank line."""
-    return F.length(F.regexp_extract(text, r"^(\s*)\S", 0)) - 1
-
-
 def mark_matches(content: Column, pattern: str, groups: int) -> Column:
     """Put ``<open>name<close>`` in front of each match, so that lines split later know
     which matches begin on them even when a match spans lines."""

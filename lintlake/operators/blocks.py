@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from lintlake.catalog.rules import DECISIONS, FUNCTION_STARTS, JS_TS
 from lintlake.config import ReviewConfig
 from lintlake.functions.regex import java_regex
-from lintlake.functions.text import MARK_OPEN, indent_of, mark_matches, marked_names, split_lines, unmarked
+from lintlake.functions.sqltext import quoted, rlike_sql
+from lintlake.functions.text import MARK_OPEN, mark_matches, marked_names, split_lines, unmarked
 from lintlake.operators.findings import FIND, existing, find, from_arrays, slim, wanted
 
 INDENTED = ("python", "ruby")
@@ -30,36 +31,33 @@ ASYNC = r"async\s+(?:function\s+)?(\w+)"
 UNCLOSED_LINES, BODY_LINES = 50, 200
 
 
-def _first_group(text: Column, pattern: str, groups: int) -> Column:
-    """Name from a function start: first non-empty group, ``anonymous`` if none, null without a match."""
+def _first_group(text: str, pattern: str) -> str:
+    """SQL for the name in a function start: first non-empty group, ``anonymous`` if none, null without a match."""
     java = java_regex(pattern)
-    parts = [F.nullif(F.regexp_extract(text, java, g), F.lit("")) for g in range(1, groups + 1)]
-    return F.when(text.rlike(java), F.coalesce(*parts, F.lit("anonymous")))
+    parts = "".join(f"nullif(regexp_extract({text}, {quoted(java)}, {g}), ''), " for g in range(1, re.compile(pattern).groups + 1))
+    return f"CASE WHEN {rlike_sql(text, java)} THEN coalesce({parts}'anonymous') END"
 
 
-def function_name(text: Column, lang_id: Column) -> Column:
-    """Languages without patterns of their own use the JavaScript ones."""
-    def named(patterns: list[str]) -> Column:
-        return F.coalesce(*[_first_group(text, p, re.compile(p).groups) for p in patterns])
+def function_name(text: str) -> str:
+    """SQL; languages without patterns of their own use the JavaScript ones."""
+    def named(lang: str) -> str:
+        return f"coalesce({', '.join(_first_group(text, p) for p in FUNCTION_STARTS[lang])}, NULL)"
 
-    choice = F
-    for lang, patterns in FUNCTION_STARTS.items():
-        if lang == "javascript":
-            continue
-        choice = choice.when(lang_id == lang, named(patterns))
-    return choice.otherwise(named(FUNCTION_STARTS["javascript"]))
+    cases = " ".join(f"WHEN {quoted(lang)} THEN {named(lang)}" for lang in FUNCTION_STARTS if lang != "javascript")
+    return f"(CASE lang_id {cases} ELSE {named('javascript')} END)"
 
 
-def decision_count(text: Column, lang_id: Column) -> Column:
-    def count(key: str) -> Column:
+def decision_count(text: str) -> str:
+    """SQL for the number of decision words in a line."""
+    def count(key: str) -> str:
         words, operators = DECISIONS[key]
         pattern = rf"(?<!\w)(?:{words})(?!\w)"
         if operators:
             pattern += rf"|(?<=\w)(?:{operators})(?=\w)"
-        return F.regexp_count(text, F.lit(pattern))
+        return f"regexp_count({text}, {quoted(pattern)})"
 
-    return (F.when(lang_id == "python", count("python")).when(lang_id == "ruby", count("ruby"))
-            .when(lang_id == "go", count("go")).otherwise(count("default")))
+    cases = " ".join(f"WHEN {quoted(lang)} THEN {count(lang)}" for lang in DECISIONS if lang != "default")
+    return f"(CASE lang_id {cases} ELSE {count('default')} END)"
 
 
 def _numbered(files: DataFrame) -> DataFrame:
@@ -163,12 +161,10 @@ def _indented_lines(files: DataFrame) -> DataFrame:
     levels between the two indents."""
     base = files.where(F.col("lang_id").isin(*INDENTED)).select(
         "path", "lang_id", split_lines(F.col("content")).alias("lines"))
-    name = lambda x: function_name(x, F.col("lang_id"))
     rows = base.select(
         "path", "lang_id", F.size("lines").alias("n_lines"),
-        F.filter(F.transform("lines", lambda x, i: F.struct(
-            (i + 1).alias("line_no"), x.alias("text"), indent_of(x).alias("indent"), name(x).alias("start"))),
-            lambda r: r["indent"] >= 0).alias("rows"))
+        F.expr("filter(transform(lines, (x, i) -> named_struct('line_no', i + 1, 'text', x, 'indent', "
+               f"length(regexp_extract(x, {quoted(r'^(\s*)\S')}, 0)) - 1, 'start', {function_name('x')})), r -> r.indent >= 0)").alias("rows"))
     zipped = F.arrays_zip(
         F.col("rows").alias("row"),
         F.concat(F.array(F.lit(None).cast("int")), F.transform("rows", lambda r: r["indent"])).alias("prev"))
@@ -182,15 +178,15 @@ def _indented_lines(files: DataFrame) -> DataFrame:
     lines = lines.select(
         "path", "lang_id", "n_lines", "z.row.line_no", "z.row.text", "z.row.indent", "z.row.start",
         F.coalesce(closes, F.array().cast("array<int>")).alias("closes"),
-        decision_count(F.col("z.row.text"), F.col("lang_id")).alias("decisions"))
+        F.expr(decision_count("z.row.text")).alias("decisions"))
     kept = lines.where(F.col("start").isNotNull() | (F.size("closes") > 0) | (F.col("decisions") > 0))
     return kept.withColumn("text", F.when(F.col("start").isNotNull(), F.col("text")))
 
 
 def braced_functions(files: DataFrame) -> DataFrame:
     lines = _numbered(files.where(~F.col("lang_id").isin(*INDENTED)))
-    lines = lines.withColumn("start", function_name(F.col("text"), F.col("lang_id"))).withColumn(
-        "decisions", decision_count(F.col("text"), F.col("lang_id")))
+    lines = lines.withColumn("start", F.expr(function_name("text"))).withColumn(
+        "decisions", F.expr(decision_count("text")))
     return brace_extent(lines, {"decisions": UNCLOSED_LINES})
 
 
@@ -303,13 +299,13 @@ def block_findings(files: DataFrame, config: ReviewConfig, functions: bool, asyn
     lines = _async_names(_numbered(_async_marked(files) if asyncs else files))
     braced = ~F.col("lang_id").isin(*INDENTED)
     start = F.struct(
-        (F.when(braced, function_name(text, F.col("lang_id"))) if functions else F.lit(None).cast("string")).alias("function"),
+        (F.when(braced, F.expr(function_name("text"))) if functions else F.lit(None).cast("string")).alias("function"),
         F.col("asyncs").alias("asyncs"), (text.rlike(SWITCH) if switches else F.lit(False)).alias("switch"))
     counts = {**({"decisions": UNCLOSED_LINES} if functions else {}),
               **({"waits": BODY_LINES, "guards": BODY_LINES} if asyncs else {}), **({"defaults": BODY_LINES} if switches else {})}
     columns = _counted(*[c for c in counts if c != "decisions"])
     if functions:
-        columns["decisions"] = F.when(braced, decision_count(text, F.col("lang_id"))).otherwise(0)
+        columns["decisions"] = F.when(braced, F.expr(decision_count("text"))).otherwise(0)
     any_start = F.col("start.function").isNotNull() | F.col("start.asyncs").isNotNull() | F.col("start.switch")
     lines = lines.withColumns({"start": start, **columns}).withColumn("start", F.when(any_start, F.col("start"))).drop("asyncs")
     ends = brace_extent(lines, counts)
@@ -347,7 +343,7 @@ def window_prefix_counts(files: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     counts = _numbered(files).select(
-        "path", "line_no", decision_count(text, F.col("lang_id")).alias("decisions"), _has(text, "await").alias("awaits"),
+        "path", "line_no", F.expr(decision_count("text")).alias("decisions"), _has(text, "await").alias("awaits"),
         _has(text, "try").alias("tries"), _has(text, ".catch").alias("catches"),
         (_has(text, "default:") + _has(text, "default :")).alias("defaults"))
     so_far = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)

@@ -7,7 +7,7 @@ line that a finding carries: no lookup, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from lintlake.catalog import frameworks as FW
 from lintlake.catalog.dims import SEVERITY_RANK
 from lintlake.config import ReviewConfig, usable_regex
 from lintlake.functions.regex import java_regex
+from lintlake.functions.sqltext import any_sql, quoted, quoted_list, rlike_sql
 from lintlake.functions.text import any_of, contains_any
 
 
@@ -36,25 +37,24 @@ def filter_whitelist_patterns(findings: DataFrame, patterns: tuple[str, ...]) ->
     return findings.where(~any_of(hits)) if hits else findings
 
 
-def suppressed_by_framework(text: Column, rule_id: Column, lang_id: Column, active: Column) -> Column:
-    """Whether an active framework explains the line for this rule and language."""
-    hits = []
-    for s in FW.SUPPRESS:
-        hits.append(F.array_contains(active, s.framework) & lang_id.isin(*s.langs) & rule_id.isin(*s.rule_ids)
-                    & text.rlike(java_regex(s.pattern)))
-    return any_of(hits)
+def suppressed_by_framework(text: str, rule_id: str, lang_id: str = "lang_id", active: str = "frameworks") -> str:
+    """SQL: whether an active framework explains the line for this rule and language. Arguments are SQL too."""
+    return any_sql(
+        f"(array_contains({active}, {quoted(s.framework)}) AND {lang_id} IN ({quoted_list(s.langs)}) "
+        f"AND {rule_id} IN ({quoted_list(s.rule_ids)}) AND {rlike_sql(text, java_regex(s.pattern))})" for s in FW.SUPPRESS)
+
+
+SUPPRESSIBLE = sorted({r for s in FW.SUPPRESS for r in s.rule_ids})
 
 
 def suppress_framework_blocks(lines: DataFrame) -> DataFrame:
     """Mark lines (path, lang_id, text, frameworks) whose blocks are not reported as duplicates."""
-    quiet = suppressed_by_framework(F.col("text"), F.lit("ai/code-duplication"), F.col("lang_id"), F.col("frameworks"))
-    return lines.withColumn("quiet", quiet)
+    return lines.withColumn("quiet", F.expr(suppressed_by_framework("text", "'ai/code-duplication'")))
 
 
-def filter_framework(findings: DataFrame, active: Column | None = None) -> DataFrame:
-    """findings need ``rule_id``, ``lang_id``, ``text`` and, unless given, a column ``frameworks``."""
-    active = F.col("frameworks") if active is None else active
-    return findings.where(~suppressed_by_framework(F.col("text"), F.col("rule_id"), F.col("lang_id"), active))
+def filter_framework(findings: DataFrame) -> DataFrame:
+    """findings need ``rule_id``, ``lang_id``, ``text`` and ``frameworks``."""
+    return findings.where(F.expr(f"NOT (rule_id IN ({quoted_list(SUPPRESSIBLE)}) AND {suppressed_by_framework('text', 'rule_id')})"))
 
 
 def filter_whitelists(findings: DataFrame, config: ReviewConfig) -> DataFrame:

@@ -7,63 +7,57 @@ of each regex: language, comment flag, a literal the match cannot do without.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.catalog import rules as R
 from lintlake.config import ReviewConfig
 from lintlake.functions.regex import escape_literal, java_regex
-from lintlake.functions.text import contains_any
+from lintlake.functions.sqltext import contains_sql, quoted, quoted_list, rlike_sql
 from lintlake.operators.files import comment_flags
-from lintlake.operators.findings import from_arrays, passing, slim, wanted
+from lintlake.operators.findings import FIND, from_arrays, passing, wanted
 
 _SKIP_COLUMN = {"hash": "skip_hash", "html": "skip_html", "hash_blank": "skip_hash_blank", "slashes": "skip_slashes"}
 
 
-def matches(rule: R.Rule, exact_edges: bool = False) -> Column:
+def matches(rule: R.Rule, exact_edges: bool = False) -> str:
+    """The condition of a rule on a line, cheap tests first."""
     tests = []
     if rule.langs is not None:
-        tests.append(F.col("lang_id").isin(*rule.langs))
+        tests.append(f"lang_id IN ({quoted_list(rule.langs)})")
     if rule.families is not None:
-        tests.append(F.col("family").isin(*rule.families))
+        tests.append(f"family IN ({quoted_list(rule.families)})")
     if rule.comment_mode != "none":
-        tests.append(~F.col(_SKIP_COLUMN[rule.comment_mode]))
+        tests.append(f"NOT {_SKIP_COLUMN[rule.comment_mode]}")
     if rule.needs:
-        tests.append(contains_any(F.col("text"), rule.needs))
-    tests.append(F.col("text").rlike(java_regex(rule.pattern, rule.ignore_case, exact_edges)))
+        tests.append(contains_sql("text", rule.needs))
+    tests.append(rlike_sql("text", java_regex(rule.pattern, rule.ignore_case, exact_edges)))
     if rule.unless:
-        tests.append(~F.col("text").rlike(java_regex(rule.unless)))
-    condition = tests[0]
-    for t in tests[1:]:
-        condition = condition & t
-    return condition
+        tests.append("NOT " + rlike_sql("text", java_regex(rule.unless)))
+    return " AND ".join(tests)
 
 
-def hit(uid: str, ord: Column | int, args: list[Column] | None = None, pos: Column | None = None) -> Column:
-    values = F.array(*[a.cast("string") for a in args]) if args else F.array().cast("array<string>")
-    return F.struct(F.lit(uid).alias("uid"), values.alias("args"), (F.col("line_no") if pos is None else pos).cast("int").alias("pos"),
-                    (F.lit(ord) if isinstance(ord, int) else ord).cast("int").alias("ord"))
+def hit(condition: str, uid: str, ord: str | int, args: tuple[str, ...] = (), pos: str = "line_no") -> str:
+    """SQL for the finding of one rule on a line: a struct, or null."""
+    values = ", ".join(f"CAST({a} AS STRING)" for a in args)
+    return (f"CASE WHEN {condition} THEN named_struct('uid', {quoted(uid)}, 'args', CAST(array({values}) AS ARRAY<STRING>), "
+            f"'pos', CAST({pos} AS INT), 'ord', CAST({ord} AS INT)) END")
 
 
-def findings_of(lines: DataFrame, hits: list[Column]) -> DataFrame:
-    """Slim findings from columns that are a ``hit`` or null, evaluated on each line."""
-    if not hits:
-        return slim(lines.where(F.lit(False)), "")
-    found = comment_flags(lines).select("path", "lang_id", "line_no", "text", F.explode_outer(F.array_compact(F.array(*hits))).alias("hit"))
-    return found.where(F.col("hit").isNotNull()).select(
-        "path", "lang_id", "line_no", F.lit(None).cast("int").alias("end_line"), "hit.uid", "hit.args", "hit.pos", "hit.ord", "text")
+def findings_with(rows: DataFrame, hits: list[str]) -> DataFrame:
+    """Slim findings of ``hits`` on each line. A row may carry ``found`` instead: findings of its whole file."""
+    own = (f"transform(array_compact(array({', '.join(hits)})), h -> named_struct('line_no', line_no, 'end_line', CAST(NULL AS INT), "
+           "'uid', h.uid, 'args', h.args, 'pos', h.pos, 'ord', h.ord, 'text', text))")
+    column = f"coalesce(found, {own})" if hits else "found"
+    return from_arrays(comment_flags(rows), F.expr(column))
 
 
-def findings_with(rows: DataFrame, hits: list[Column]) -> DataFrame:
-    """Rows are lines, or carry ``found``: ready findings of the whole file (then the line is empty)."""
-    own = F.transform(F.array_compact(F.array(*hits)), lambda h: F.struct(
-        F.col("line_no").cast("int").alias("line_no"), F.lit(None).cast("int").alias("end_line"), h["uid"].alias("uid"),
-        h["args"].alias("args"), h["pos"].alias("pos"), h["ord"].alias("ord"), F.col("text").alias("text")))
-    return from_arrays(comment_flags(rows), F.coalesce("found", own) if hits else F.col("found"))
+def findings_of(lines: DataFrame, hits: list[str]) -> DataFrame:
+    return findings_with(lines.withColumn("found", F.lit(None).cast(f"array<{FIND}>")), hits)
 
 
-def catalog_hits(rules: list[R.Rule], exact_edges: bool = False) -> list[Column]:
-    return [F.when(matches(r, exact_edges), hit(r.uid, n)) for n, r in enumerate(rules) if r.langs is None or r.langs]
+def catalog_hits(rules: list[R.Rule], exact_edges: bool = False) -> list[str]:
+    return [hit(matches(r, exact_edges), r.uid, n) for n, r in enumerate(rules) if r.langs is None or r.langs]
 
 
 def scan_rules(lines: DataFrame, rules: list[R.Rule], exact_edges: bool = False) -> DataFrame:
@@ -91,10 +85,10 @@ def forbidden_rules(config: ReviewConfig) -> list[tuple[str, str]]:
     return [(name, java_regex(r"\b" + escape_literal(name) + r"\s*\(", exact_edges=True)) for name in config.forbidden_functions]
 
 
-def forbidden_hits(config: ReviewConfig) -> list[Column]:
+def forbidden_hits(config: ReviewConfig) -> list[str]:
     """All lines for one name are reported before all lines for the next."""
-    return [F.when(~F.col("skip_hash") & F.contains("text", F.lit(n)) & F.col("text").rlike(p),
-                   hit("A14", F.col("line_no"), [F.lit(n)], pos=F.lit(i))) for i, (n, p) in enumerate(forbidden_rules(config))]
+    return [hit(f"NOT skip_hash AND contains(text, {quoted(n)}) AND {rlike_sql('text', p)}", "A14", "line_no", (quoted(n),), pos=str(i))
+            for i, (n, p) in enumerate(forbidden_rules(config))]
 
 
 def scan_forbidden(lines: DataFrame, config: ReviewConfig) -> DataFrame:
@@ -105,11 +99,11 @@ def _plain_style(config: ReviewConfig | None) -> list[R.Rule]:
     return [r for r in passing(R.STYLE_RULES, config) if r.uid != "A07"]
 
 
-def magic_hits() -> list[Column]:
+def magic_hits() -> list[str]:
     magic = R.BY_UID["A07"]
-    number = F.regexp_extract("text", java_regex(magic.pattern), 1)
-    return [F.when(F.col("family").isin(*magic.families) & (number != "") & ~number.isin(*R.MAGIC_ALLOWED),
-                   hit("A07", len(R.STYLE_RULES), [number]))]
+    number = f"regexp_extract(text, {quoted(java_regex(magic.pattern))}, 1)"
+    return [hit(f"family IN ({quoted_list(magic.families)}) AND {number} NOT IN ('', {quoted_list(R.MAGIC_ALLOWED)})",
+                "A07", len(R.STYLE_RULES), (number,))]
 
 
 def scan_line_style(lines: DataFrame, config: ReviewConfig | None = None) -> DataFrame:
@@ -117,26 +111,25 @@ def scan_line_style(lines: DataFrame, config: ReviewConfig | None = None) -> Dat
     return findings_of(lines, catalog_hits(_plain_style(config)) + extra)
 
 
-def todo_hits() -> list[Column]:
-    pattern, trimmed = java_regex(R.TODO_PATTERN, ignore_case=True), F.col("trimmed")
-    tag, rest = F.upper(F.regexp_extract(trimmed, pattern, 1)), F.substring(F.regexp_extract(trimmed, pattern, 2), 1, 80)
-    comment = F.contains(trimmed, F.lit("//")) | F.contains(trimmed, F.lit("#")) | F.contains(trimmed, F.lit("*"))
-    return [F.when(comment & trimmed.rlike(pattern), hit("A12", 1, [tag, rest]))]
+def todo_hits() -> list[str]:
+    pattern = java_regex(R.TODO_PATTERN, ignore_case=True)
+    tag, rest = (f"regexp_extract(trimmed, {quoted(pattern)}, {g})" for g in (1, 2))
+    return [hit(f"{contains_sql('trimmed', ('//', '#', '*'))} AND {rlike_sql('trimmed', pattern)}", "A12", 1,
+                (f"upper({tag})", f"substring({rest}, 1, 80)"))]
 
 
 def scan_todo(lines: DataFrame) -> DataFrame:
     return findings_of(lines, todo_hits())
 
 
-def naming_hits() -> list[Column]:
-    text, python = F.col("text"), F.col("lang_id") == "python"
-    loop = text.rlike(java_regex(r"\b(?:for|while)\b"))
+def naming_hits() -> list[str]:
+    loop = rlike_sql("text", java_regex(r"\b(?:for|while)\b"))
 
-    def one(gate: Column, pattern: str) -> Column:
-        name = F.regexp_extract(text, pattern, 1)
-        return F.when(gate & (name != "") & ~name.isin(*R.SINGLE_LETTER_ALLOWED) & ~loop, hit("A15", 0, [name]))
+    def one(gate: str, pattern: str) -> str:
+        name = f"regexp_extract(text, {quoted(pattern)}, 1)"
+        return hit(f"{gate} AND {name} NOT IN ('', {quoted_list(R.SINGLE_LETTER_ALLOWED)}) AND NOT {loop}", "A15", 0, (name,))
 
-    return [one(python, R.SINGLE_LETTER_PYTHON), one(F.col("family") == "c-style", R.SINGLE_LETTER_C)]
+    return [one("lang_id = 'python'", R.SINGLE_LETTER_PYTHON), one("family = 'c-style'", R.SINGLE_LETTER_C)]
 
 
 def scan_naming(lines: DataFrame) -> DataFrame:
@@ -155,7 +148,7 @@ def scan_open_no_with(lines: DataFrame) -> DataFrame:
     return scan_rules(lines, [R.BY_UID["X11"]])
 
 
-def all_hits(config: ReviewConfig) -> list[Column]:
+def all_hits(config: ReviewConfig) -> list[str]:
     """Every single-line rule that passes the thresholds; ``ord`` rises along each analyzer's list."""
     known = [*R.SECURITY_RULES, *R.PERFORMANCE_RULES, *R.RUNTIME_RULES]
     single = [*passing(known, config), *_plain_style(config), *passing([R.BY_UID[u] for u in ("X02", "X08", "X11")], config)]
