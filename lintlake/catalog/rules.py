@@ -38,6 +38,8 @@ class Rule:
     ignore_case: bool = False
     comment_mode: str = "none"
     needs: tuple[str, ...] = ()     # the line holds one of these whenever the pattern matches
+    needs_lower: tuple[str, ...] = ()   # the same for the line in lower case
+    also: str | None = None         # a simpler pattern that then matches too (keeps long lines linear)
     unless: str | None = None       # and this does not match
     families: tuple[str, ...] | None = None
 
@@ -45,11 +47,18 @@ class Rule:
 SECURITY, PERFORMANCE, COMPLEXITY, RUNTIME, STRUCTURE, USER, CONTEXT = 1, 2, 3, 4, 5, 6, 7
 
 
+_VERBS = ("select", "insert", "update", "delete", "drop", "alter", "create", "exec")
+NEEDS_LOWER = {"S01": _VERBS, "S02": ("execute",), "S08": ("passw", "secret", "key", "token"), "S12": ("md5", "sha1"),
+               "P08": ("select",), "P09": ("select",)}
+ALSO = {"P01": r"\+\s*=\s*['\"`]", "P07": r"\{\s*\.\.\."}
+
+
 def _catalog(prefix: str, analyzer: int, mode: str, rows: list[tuple]) -> list[Rule]:
     rules = []
     for uid, cat, sev, conf, langs, pattern, icase, needs, msg, why, fix in rows:
         rules.append(Rule(uid, analyzer, 0, f"{prefix}/{label(cat)}", cat, sev, conf, langs, pattern,
-                          msg, why, fix, ignore_case=icase, comment_mode=mode, needs=needs))
+                          msg, why, fix, ignore_case=icase, comment_mode=mode, needs=needs,
+                          needs_lower=NEEDS_LOWER.get(uid, ()), also=ALSO.get(uid)))
     return rules
 
 

@@ -23,7 +23,7 @@ from lintlake.catalog.rules import DECISIONS, FUNCTION_STARTS, JS_TS
 from lintlake.config import ReviewConfig
 from lintlake.functions.regex import java_regex
 from lintlake.functions.sqltext import quoted, rlike_sql
-from lintlake.functions.text import MARK_OPEN, mark_matches, marked_names, split_lines, unmarked
+from lintlake.functions.text import MARK_OPEN, any_of, mark_matches, marked_names, split_lines, unmarked
 from lintlake.operators.findings import FIND, existing, find, from_arrays, slim, wanted
 
 INDENTED = ("python", "ruby")
@@ -74,12 +74,12 @@ def brace_extent(lines: DataFrame, counts: dict[str, int]) -> DataFrame:
     never closed) and for each count c its sum over the lines above the start (``c_before``), through the
     closing line (``c_closed``) and through that many lines from the start on (``c_reach``).
     """
-    braces = F.regexp_extract_all("text", F.lit(r"[{}]"), 0)
-    rows = lines.withColumn("braces", braces)
-    useful = (F.size("braces") > 0) | F.col("start").isNotNull()
-    for c in counts:
-        useful = useful | (F.col(c) > 0)
-    rows = rows.where(useful).withColumn("text", F.when(F.col("start").isNotNull(), F.col("text")))
+    some_brace = F.contains("text", F.lit("{")) | F.contains("text", F.lit("}"))
+    braces = F.when(some_brace, F.regexp_extract_all("text", F.lit(r"[{}]"), 0)).otherwise(F.array().cast("array<string>"))
+    # the filter stands inside the generator: as a WHERE it would be pushed down and every regex run twice
+    line = F.struct("start", F.when(F.col("start").isNotNull(), F.col("text")).alias("text"), braces.alias("braces"), *counts)
+    useful = F.filter(F.array(line), lambda r: any_of([F.size(r["braces"]) > 0, r["start"].isNotNull(), *[r[c] > 0 for c in counts]]))
+    rows = lines.select("path", "lang_id", "line_no", "n_lines", F.inline_outer(useful)).where(F.col("braces").isNotNull())
 
     by_line = W.partitionBy("path").orderBy("line_no")
     sums = {}
@@ -175,12 +175,10 @@ def _indented_lines(files: DataFrame) -> DataFrame:
         F.col("z.row").isNotNull())
     closes = F.when(F.col("z.row.indent") <= F.col("z.prev"),
                     F.filter("levels", lambda v: (v >= F.col("z.row.indent")) & (v <= F.col("z.prev"))))
-    lines = lines.select(
-        "path", "lang_id", "n_lines", "z.row.line_no", "z.row.text", "z.row.indent", "z.row.start",
-        F.coalesce(closes, F.array().cast("array<int>")).alias("closes"),
-        F.expr(decision_count("z.row.text")).alias("decisions"))
-    kept = lines.where(F.col("start").isNotNull() | (F.size("closes") > 0) | (F.col("decisions") > 0))
-    return kept.withColumn("text", F.when(F.col("start").isNotNull(), F.col("text")))
+    line = F.struct("z.row.line_no", F.when(F.col("z.row.start").isNotNull(), F.col("z.row.text")).alias("text"), "z.row.indent", "z.row.start",
+                    F.coalesce(closes, F.array().cast("array<int>")).alias("closes"), F.expr(decision_count("z.row.text")).alias("decisions"))
+    useful = F.filter(F.array(line), lambda r: r["start"].isNotNull() | (F.size(r["closes"]) > 0) | (r["decisions"] > 0))
+    return lines.select("path", "lang_id", "n_lines", F.inline_outer(useful)).where(F.col("line_no").isNotNull())
 
 
 def braced_functions(files: DataFrame) -> DataFrame:

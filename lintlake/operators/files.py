@@ -88,6 +88,7 @@ def comment_flags(lines: DataFrame) -> DataFrame:
         "skip_html": hashed | F.startswith(trimmed, F.lit("<!--")),
         "skip_hash_blank": hashed | (trimmed == ""),
         "skip_slashes": F.startswith(trimmed, F.lit("//")),
+        "lowered": F.lower("text"),
     })
 
 

@@ -31,6 +31,10 @@ def matches(rule: R.Rule, exact_edges: bool = False) -> str:
         tests.append(f"NOT {_SKIP_COLUMN[rule.comment_mode]}")
     if rule.needs:
         tests.append(contains_sql("text", rule.needs))
+    if rule.needs_lower:
+        tests.append(contains_sql("lowered", rule.needs_lower))
+    if rule.also:
+        tests.append(rlike_sql("text", java_regex(rule.also)))
     tests.append(rlike_sql("text", java_regex(rule.pattern, rule.ignore_case, exact_edges)))
     if rule.unless:
         tests.append("NOT " + rlike_sql("text", java_regex(rule.unless)))

@@ -79,9 +79,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(docs).select(
         F.concat(F.lit("docs/"), F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"),
         F.col("text").alias("content"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(pages).select(
         F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
     return docs.unionByName(pages)

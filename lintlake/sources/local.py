@@ -30,6 +30,7 @@ def small_enough(keys: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Slim rows that stand for much work each: over all cores when they come in fewer splits."""
+    """Rows that stand for much work each: over all cores when the table has fewer splits than that
+    (a table of many splits is left as it is)."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
