@@ -57,9 +57,9 @@ def existing(found: Column) -> Column:
     return F.filter(found, lambda f: f.isNotNull())
 
 
-def from_arrays(rows: DataFrame, found: Column) -> DataFrame:
-    """Slim findings from a column with an array of ``find`` structs."""
-    return rows.select("path", "lang_id", F.inline_outer(found)).where(F.col("uid").isNotNull()).select(*SLIM)
+def from_arrays(rows: DataFrame, found: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Slim findings (and columns to carry) from a column with an array of ``find`` structs."""
+    return rows.select("path", "lang_id", *carry, F.inline_outer(found)).where(F.col("uid").isNotNull()).select(*SLIM, *carry)
 
 
 def union_findings(parts: list[DataFrame]) -> DataFrame:

@@ -48,12 +48,12 @@ def hit(condition: str, uid: str, ord: str | int, args: tuple[str, ...] = (), po
             f"'pos', CAST({pos} AS INT), 'ord', CAST({ord} AS INT)) END")
 
 
-def findings_with(rows: DataFrame, hits: list[str]) -> DataFrame:
+def findings_with(rows: DataFrame, hits: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Slim findings of ``hits`` on each line. A row may carry ``found`` instead: findings of its whole file."""
     own = (f"transform(array_compact(array({', '.join(hits)})), h -> named_struct('line_no', line_no, 'end_line', CAST(NULL AS INT), "
            "'uid', h.uid, 'args', h.args, 'pos', h.pos, 'ord', h.ord, 'text', text))")
     column = f"coalesce(found, {own})" if hits else "found"
-    return from_arrays(comment_flags(rows), F.expr(column))
+    return from_arrays(comment_flags(rows), F.expr(column), carry)
 
 
 def findings_of(lines: DataFrame, hits: list[str]) -> DataFrame:

@@ -122,7 +122,11 @@ def detect_frameworks(files: DataFrame, config: ReviewConfig) -> DataFrame:
 
 
 def attach_frameworks(df: DataFrame, config: ReviewConfig, corpus: DataFrame) -> DataFrame:
-    """Add the corpus-wide ``frameworks ARRAY<STRING>`` as a scalar subquery: it runs once."""
+    """Add the corpus-wide ``frameworks ARRAY<STRING>`` as a scalar subquery: it runs once, and not at all
+    when the settings force every framework."""
+    forced = forced_frameworks(config)
+    if len(forced) == len(FW.DETECT):
+        return df.withColumn("frameworks", F.array(*[F.lit(n) for n in sorted(forced)]))
     one = detect_frameworks(corpus, config).agg(F.sort_array(F.collect_set("framework")).alias("frameworks"))
     return df.withColumn("frameworks", one.scalar())
 

@@ -8,7 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def small_table(spark: SparkSession, rows: list[tuple], names: list[str], types: dict | None = None) -> DataFrame:
