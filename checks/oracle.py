@@ -7,6 +7,8 @@ lookahead) are closed by rewriting the line first.
 
 from __future__ import annotations
 
+import re
+
 from checks import queries as Q
 from lintlake.catalog import dims, frameworks as FW, rules as R
 from lintlake.config import ReviewConfig, user_rules
@@ -16,6 +18,14 @@ from lintlake.sinks.reports import FOOTER  # noqa: F401
 from lintlake.sources.derived import BLOCKS, DIRS, EXTS, ROOT
 
 
+def compiles(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+        return True
+    except re.error:
+        return False
+
+
 def s(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
@@ -251,8 +261,6 @@ outers AS (SELECT *, max(CASE WHEN inc = 1 AND at_depth = 1 THEN line_no END) {W
 
 
 def names_sql(patterns) -> str:
-    import re
-
     parts = []
     for p in patterns:
         icase = p.startswith("(?i)")
@@ -451,7 +459,7 @@ def review(config: ReviewConfig, where: str = "true", source: str = "code", in_f
              "found_forbidden", "found_unreachable", "found_empty_catch", "found_awaits", "found_json", "found_destructure", "found_timeout",
              "found_nested", "found_long", "found_complex", "found_async", "found_switch", "found_unused", "found_listeners", "found_intervals",
              "found_duplicates"]
-    custom = user_rules(config.custom_rules)
+    custom = user_rules(config.custom_rules, compiles)
     per_file = "file_fws AS MATERIALIZED (SELECT path, list_filter([" + ", ".join(
         f"CASE WHEN {' OR '.join(rx('content', p) for p in ps)}{' OR true' if n in config.enable_frameworks else ''} THEN {s(n)} END"
         for n, ps in FW.DETECT.items()) + "], lambda x: x IS NOT NULL) AS fws FROM ready)"
@@ -551,7 +559,7 @@ def build() -> dict[str, str]:
         "scan_security": shown(BOTH_LINES, scan(R.SECURITY_RULES, "found")),
         "scan_performance": shown(BOTH_LINES, scan(R.PERFORMANCE_RULES, "found")),
         "scan_runtime": shown(BOTH_LINES, scan(R.RUNTIME_RULES, "found")),
-        "scan_user_rules": shown(BOTH_LINES, scan(user_rules(Q.CUSTOM), "found"), rules=user_rules(Q.CUSTOM)),
+        "scan_user_rules": shown(BOTH_LINES, scan(user_rules(Q.CUSTOM, compiles), "found"), rules=user_rules(Q.CUSTOM, compiles)),
         "scan_forbidden": shown(CODE_LINES, forbidden(("eval", "exec", "document.write", "render")), "found_forbidden"),
         "scan_line_style": shown([*CODE_LINES, *STYLE], "found AS (SELECT * FROM found_style)"),
         "scan_todo": shown(BOTH_LINES, TODO, "found_todo"),

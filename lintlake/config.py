@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
+from functools import cached_property
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -48,10 +50,10 @@ class ReviewConfig:
     whitelisted_functions: tuple[str, ...] = ()
     whitelisted_patterns: tuple[str, ...] = ()
     framework_scope: str = "corpus"      # or "file"
-    user_rules: tuple[Rule, ...] = field(init=False, compare=False, repr=False)
 
-    def __post_init__(self):
-        object.__setattr__(self, "user_rules", tuple(user_rules(self.custom_rules)))
+    @cached_property
+    def user_rules(self) -> tuple[Rule, ...]:
+        return tuple(user_rules(self.custom_rules))
 
     @property
     def block_lines(self) -> int:
@@ -59,13 +61,13 @@ class ReviewConfig:
 
     def fingerprint(self) -> str:
         """Identifies the settings in stored review state: other settings, other findings."""
-        plain = {k: v for k, v in asdict(self).items() if k != "user_rules"}
-        return hashlib.sha256(json.dumps(plain, sort_keys=True, default=list).encode()).hexdigest()[:16]
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, default=list).encode()).hexdigest()[:16]
 
 
-def user_rules(custom: tuple[dict, ...] | list[dict]) -> list[Rule]:
+def user_rules(custom: tuple[dict, ...] | list[dict], compiles: Callable[[str], bool] | None = None) -> list[Rule]:
     """The default rules plus configured ones; a pattern that does not compile is left out."""
-    usable = [r for r in custom if r.get("pattern") is not None and usable_regex(r["pattern"])]
+    compiles = compiles or usable_regex
+    usable = [r for r in custom if r.get("pattern") is not None and compiles(r["pattern"])]
     out = []
     for n, raw in enumerate([*DEFAULT_USER_RULES, *usable]):
         severity = {"critical": "Critical", "high": "High", "medium": "Medium"}.get((raw.get("severity") or "").lower(), "Low")
