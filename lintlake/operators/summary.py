@@ -3,12 +3,11 @@ the four severities and the categories."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.catalog.dims import SEVERITY_RANK, label
-from lintlake.catalog.dims import CATEGORIES
-from lintlake.operators.filters import dedup_findings  # noqa: F401  (re-exported for callers of the roll-ups)
+from lintlake.catalog.dims import CATEGORIES, SEVERITY_RANK, label
 from lintlake.sources.local import small_table
 
 ISSUE = ["line_no", "end_line", "severity", "category", "message", "explanation", "suggested_fix", "confidence", "rule_id"]
@@ -16,8 +15,6 @@ ISSUE = ["line_no", "end_line", "severity", "category", "message", "explanation"
 
 def agg_severity(findings: DataFrame) -> DataFrame:
     """Count per severity, all four present."""
-    import pyarrow as pa
-
     dim = small_table(findings.sparkSession, list(SEVERITY_RANK.items()), ["severity", "sev_rank"], {"sev_rank": pa.int32()})
     counts = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     return dim.join(counts, "severity", "left").select("severity", "sev_rank", F.coalesce("n", F.lit(0)).alias("n"))

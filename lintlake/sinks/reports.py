@@ -14,7 +14,6 @@ from lintlake.functions.regex import escape_literal
 
 FOOTER = "Generated by lintlake"
 SEVERITIES = list(reversed(SEVERITY_RANK))
-DAY = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def relative_path(path: Column, root: str) -> Column:
