@@ -40,7 +40,7 @@ EDGES = b".,!?;:#$%&*|\"'()[]<>-"
 
 class Terms:
     """Hashed terms of texts: words without punctuation at their edges, beginnings of 5 and of 7 characters of longer words, and
-    beginnings of 5 that two or more different words share. What a word gives is kept, up to KEPT words."""
+    beginnings of 5 that two, and that three, or more different words share. What a word gives is kept, up to KEPT words."""
 
     KEPT = 200_000
 
@@ -61,8 +61,8 @@ class Terms:
     def __call__(self, text: bytes) -> np.ndarray:
         rows = np.array(list(set(map(self.of_word, set(words_of(text))))), np.uint32).reshape(-1, 3)
         stems, n = np.unique(rows[:, 1], return_counts=True)
-        shared = (stems[n > 1] * np.uint32(2654435761) + np.uint32(1)) >> np.uint32(32 - BITS)
-        out = np.unique(np.concatenate([rows.ravel(), shared]))
+        shared = [(stems[n > k] * np.uint32(2654435761) + np.uint32(k << 12)) >> np.uint32(32 - BITS) for k in (1, 2)]
+        out = np.unique(np.concatenate([rows.ravel(), *shared]))
         return out[out > 0]
 
 
@@ -91,7 +91,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trust: float = 0.98) -> tuple[LabelModel, np.ndarray]:
+def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trust: float = 0.999) -> tuple[LabelModel, np.ndarray]:
     """Expectation maximisation over votes (documents, voters). known: labels 0/1, a voter right with probability `trust`."""
     n = len(votes)
     q = np.where(known == 1, trust, 1 - trust)
@@ -124,9 +124,11 @@ def own_share(x: np.ndarray, q: np.ndarray, p1: np.ndarray, p0: np.ndarray) -> n
     return 1 / out.sum(axis=1)
 
 
-def fit_linear(rows: list[np.ndarray], q: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 1e-6, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels, by AdaGrad over single documents."""
-    w, g, bias, bias_g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), 0.0, 1e-2
+def fit_linear(bags: list[np.ndarray], q: np.ndarray, epochs: int = 15, rate: float = 0.5, least: float = 5.0, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels, by AdaGrad over single documents; terms of little gain stay at 0."""
+    useful = gains(bags, q) > least
+    rows = [bag[useful[bag]] for bag in bags]
+    w, g, bias, bias_g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-1), 0.0, 1e-1
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)).tolist():
@@ -134,7 +136,7 @@ def fit_linear(rows: list[np.ndarray], q: np.ndarray, epochs: int = 12, rate: fl
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[at].sum() + bias))))
             err = p - q[i]
             g[at] += err * err
-            w[at] -= rate * (err + decay * w[at]) / np.sqrt(g[at])
+            w[at] -= rate * err / np.sqrt(g[at])
             bias_g += err * err
             bias -= rate * err / math.sqrt(bias_g)
     return w, bias
@@ -150,16 +152,23 @@ class Model:
     label_model: LabelModel | None
 
 
-def find_voters(bags: list[np.ndarray], known: np.ndarray, most: int = VOTERS) -> np.ndarray:
-    """Hashed terms whose presence speaks for the label in the learning part, best first, then those of LEXICON."""
-    n1 = max(1, int(known.sum()))
-    n0 = max(1, len(known) - n1)
+def gains(bags: list[np.ndarray], q: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each hashed term for the class of weights q; 0 where it speaks against it or has under 3 documents."""
+    n1 = max(1.0, float(q.sum()))
+    n0 = max(1.0, len(q) - n1)
     a, b = (np.zeros(1 << BITS) for _ in range(2))
-    for bag, y in zip(bags, known.tolist()):
-        (a if y else b)[bag] += 1
-    both = np.maximum(a + b, 1)
-    gain = a * np.log(np.maximum(a, 1e-9) * (n0 + n1) / (n1 * both)) + np.where(b > 0, b * np.log(np.maximum(b, 1e-9) * (n0 + n1) / (n0 * both)), 0)
-    gain[(a < 3) | (a / n1 <= 2 * b / n0)] = 0
+    for bag, y in zip(bags, q.tolist()):
+        a[bag] += y
+        b[bag] += 1 - y
+    both = np.maximum(a + b, 1e-9)
+    out = sum(np.where(x > 1e-9, x * np.log(np.maximum(x, 1e-9) * (n0 + n1) / (n * both)), 0) for x, n in ((a, n1), (b, n0)))
+    out[(a < 2.5) | (a / n1 <= 2 * b / n0)] = 0
+    return out
+
+
+def find_voters(bags: list[np.ndarray], known: np.ndarray, most: int = VOTERS) -> np.ndarray:
+    """Hashed terms whose presence speaks for the label in the learning part, best first, after those of LEXICON."""
+    gain = gains(bags, known.astype(np.float64))
     best = np.argsort(-gain, kind="stable")[:most]
     fixed = np.array([slot(b"w" + t.encode()) for t in LEXICON])
     return np.concatenate([fixed, np.setdiff1d(best[gain[best] > 3], fixed)]).astype(np.int64)
