@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,26 +12,21 @@ import zstandard
 ROW = "shard long, block long, kind int, tokens long, payload binary"
 
 
-def squeezed(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed Arrow batch per array; numbers as planes of bytes, which compress better."""
-    out = {}
+def squeezed(level: int = 1, **arrays: np.ndarray) -> bytes:
+    """Named arrays as bytes; numbers as planes of bytes, which compress better."""
+    out = []
     for name, a in arrays.items():
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
-        out[name] = (a.dtype.str, len(a), zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes()))
-    table = pa.RecordBatch.from_arrays([pa.array([k for k in out]), pa.array([v[0] for v in out.values()]), pa.array([v[1] for v in out.values()], pa.int64()),
-                                        pa.array([v[2] for v in out.values()], pa.binary())], ["name", "type", "n", "data"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_batch(table)
-    return sink.getvalue().to_pybytes()
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+        out.append((name, a.dtype.str, len(a), zstandard.ZstdCompressor(level=level, write_content_size=True).compress(planes)))
+    return pickle.dumps(out, protocol=5)
 
 
 def unsqueezed(payload: bytes) -> dict[str, np.ndarray]:
     out = {}
-    for r in pa.ipc.open_stream(payload).read_all().to_pylist():
-        kind = np.dtype(r["type"])
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"], max_output_size=max(1, r["n"] * kind.itemsize)), np.uint8)
-        out[r["name"]] = np.ascontiguousarray(raw.reshape(kind.itemsize, r["n"]).T).view(kind).reshape(r["n"])
+    for name, kind, n, data in pickle.loads(payload):
+        kind = np.dtype(kind)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, n * kind.itemsize)), np.uint8)
+        out[name] = np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind).reshape(n)
     return out
 
 

@@ -26,7 +26,10 @@ from lintlake.llm.common import Written, doc_bytes, in_parts, mixed
 LENGTH = 200
 GRAM = 16
 LEVELS = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_TUPLES = 2_500_000
+BYTES_PER_ANCHOR = 27
+TEXT_LEVEL = 6
 ONCE, INSIDE, SHOWN, OPEN = 0, 1, 2, 3
 
 _BASE = 0x9E3779B97F4A7C15
@@ -105,14 +108,14 @@ def cut(sizes: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
     return np.split(raw, np.cumsum(sizes)[:-1])
 
 
-def block_tuples(texts: list[np.ndarray]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """The texts with their anchors, and all tuples in order."""
+def block_tuples(texts: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """The anchors of each text, and all tuples in order."""
     parts, context, segment = [], [], []
     for raw in texts:
         t = Text(raw)
         lo, hi = t.anchors()
         c, s = t.tuples(lo, hi)
-        parts.append((t, lo, hi))
+        parts.append((lo, hi))
         context.append(c)
         segment.append(s)
     return parts, np.concatenate(context), np.concatenate(segment)
@@ -134,8 +137,8 @@ def dealt(shards: int, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return first, many, which, np.searchsorted(shard[first], np.arange(shards + 1, dtype=np.uint64))
 
 
-def sampled(texts: DataFrame, shards: int) -> DataFrame:
-    """Blocks: kind 0 the texts (each once in its task), kind 1 its distinct tuples for one shard."""
+def stored(texts: DataFrame) -> DataFrame:
+    """Blocks of texts of at least LENGTH bytes, each once in its task."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -146,20 +149,12 @@ def sampled(texts: DataFrame, shards: int) -> DataFrame:
         def block():
             nonlocal made, held, size
             made += 1
-            name = (part << 24) + made
-            raws = [np.frombuffer(t, np.uint8) for t in held]
-            yield row(-1, name, 0, 0, squeezed(sizes=np.array([len(r) for r in raws], np.int64), raw=np.concatenate(raws)))
-            _, context, segment = block_tuples(raws)
-            first, many, _, cuts = dealt(shards, context, segment)
-            context, segment = context[first], segment[first]
-            for s in range(shards):
-                x = slice(cuts[s], cuts[s + 1])
-                if cuts[s] < cuts[s + 1]:
-                    yield row(s, name, 1, 0, squeezed(context=np.diff(context[x], prepend=np.uint64(0)), segment=segment[x], many=many[x]))
+            sizes, raw = np.array(list(map(len, held)), np.int64), np.frombuffer(b"".join(held), np.uint8)
             held, size = [], 0
+            return row(-1, (part << 24) + made, 0, 0, squeezed(TEXT_LEVEL, sizes=sizes, raw=raw))
 
         for whole in batches:
-            for b in in_parts(whole):
+            for b in in_parts(whole, BLOCK_BYTES):
                 for t in b.column("text").to_pylist():
                     mark = hashlib.md5(t).digest()
                     if len(t) >= LENGTH and mark not in seen:
@@ -167,13 +162,30 @@ def sampled(texts: DataFrame, shards: int) -> DataFrame:
                         held.append(t)
                         size += len(t)
                         if size >= BLOCK_BYTES:
-                            yield from block()
+                            yield block()
         if held:
-            yield from block()
+            yield block()
 
     return texts.mapInArrow(run, ROW)
 
 
+def sampled(store: DataFrame, shards: int) -> DataFrame:
+    """kind 1: a block's distinct tuples for one shard."""
+
+    def run(batches):
+        for name, rows in groups(batches, "block"):
+            main = unsqueezed(rows[0]["payload"])
+            _, context, segment = block_tuples(cut(main["sizes"], main["raw"]))
+            first, many, _, cuts = dealt(shards, context, segment)
+            context, segment = context[first], segment[first]
+            for s in range(shards):
+                x = slice(cuts[s], cuts[s + 1])
+                if cuts[s] < cuts[s + 1]:
+                    yield row(s, name, 1, 0, squeezed(context=np.diff(context[x], prepend=np.uint64(0)), segment=segment[x], many=many[x]))
+
+    return store.mapInArrow(run, ROW)
+
+
 def codes_of(context: np.ndarray, segment: np.ndarray, many: np.ndarray) -> np.ndarray:
     """What a shard says of each tuple: ONCE, the context occurs once; INSIDE, the segment repeats; SHOWN, it does, and as others
     of the context are open, its windows must be shown to them (first tuple of each segment alone); OPEN."""
@@ -216,7 +228,8 @@ def induced(blocks: DataFrame, shards: int) -> DataFrame:
             told = [unsqueezed(r["payload"])["code"] for r in rows[1:]]
             code = np.concatenate(told)[which] if told else np.zeros(0, np.uint8)
             inside, asked, hashes, at = [], [], [], 0
-            for t, lo, hi in parts:
+            for raw, (lo, hi) in zip(cut(main["sizes"], main["raw"]), parts):
+                t = Text(raw)
                 known, ask = t.windows(lo, hi, code[at:at + len(lo)], segment[at:at + len(lo)])
                 at += len(lo)
                 place = np.flatnonzero(ask)
@@ -299,14 +312,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     w = Written(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = doc_bytes(docs, F.col("doc_id").cast("long").alias("doc_id"))
     size = F.octet_length("text").cast("long")
     marks = w.put(texts.select("doc_id", F.md5("text").alias("mark"), size.alias("n_bytes"), F.when(size < LENGTH, F.sha2("text", 256)).alias("short")), "marks")
     copies = w.put(marks.where(F.col("n_bytes") >= LENGTH).groupBy("mark").count().where("count > 1").select("mark", F.lit(True).alias("copied")), "copies")
-    first = w.put(sampled(texts.select("text"), shards), "sampled")
-    store = first.where("kind = 0").select("shard", "block", "kind", "payload")
-    codes = judged(first.where("kind = 1").select("shard", "block", "payload"), shards).select("shard", "block", "kind", "payload")
+    total = marks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    shards = max(spark.sparkContext.defaultParallelism, -(-total // (BYTES_PER_ANCHOR * SHARD_TUPLES)))
+    store = w.put(stored(texts.select("text")).select("shard", "block", "kind", "payload"), "texts")
+    codes = judged(sampled(store, shards).select("shard", "block", "payload"), shards).select("shard", "block", "kind", "payload")
     windows = compared(induced(store.unionByName(codes), shards).select("shard", "block", "kind", "payload"), shards).select("shard", "block", "kind", "payload")
     found = w.put(removed(store.unionByName(windows)).dropDuplicates(["mark"]), "removed")
     known = marks.join(copies, "mark", "left")
