@@ -25,8 +25,8 @@ from lintlake.llm.common import Written, in_parts, mixed, words_of
 from lintlake.llm.learning import scored
 from lintlake.llm.trie import Trie
 
-BLOCK_TOKENS = 1 << 21
-SHARD_PAIRS = 2_500_000
+BLOCK_TOKENS = 1 << 20
+SHARD_PAIRS = 1_200_000
 END = b" "
 ADD = 0.1
 #: Quantised log10 of counts and smoothed counts: 2^16 steps over [LOW, HIGH)

@@ -62,7 +62,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [50, 1 << 21])
+@pytest.mark.parametrize("block", [50, 1 << 20])
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
     monkeypatch.setattr(lm, "SHARD_PAIRS", 300)
