@@ -70,10 +70,10 @@ def _texts(docs: DataFrame, *kept: str | Column) -> DataFrame:
 
 
 def labelled_strings(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """value, random (boolean), from at most `sample` documents, chosen by the hash of their id. Random: values of base matches,
+    """value, random (boolean), from at most `sample` documents, chosen by the hash of their id (so few that the ids may be broadcast). Random: values of base matches,
     and digests of the ids as hex, upper-case hex and base64. Ordinary: words without a base match or a digit-heavy mix."""
     chosen = docs.select(F.col("doc_id").cast("string").alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit("secrets"), "id"), "id").limit(sample)
-    texts = _texts(docs, F.col("doc_id").cast("string").alias("id")).join(chosen, "id", "left_semi")
+    texts = _texts(docs, F.col("doc_id").cast("string").alias("id")).join(F.broadcast(chosen), "id", "left_semi")
     found = base_spans(texts)
     base = found.select(F.explode(F.expr("transform(concat(assign, access, hex), x -> x.value)")).alias("value"))
     digest = F.sha2("id", 256)
