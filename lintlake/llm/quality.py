@@ -65,7 +65,7 @@ def dual_descent(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, cost: flo
     """Weights of min |w|^2 / 2 + cost * sum of hinge losses, over x = r at the row's indicators, of unit length. The rarer class has
     the costs of its losses raised to equal weight."""
     w, alpha = np.zeros(len(r)), np.zeros(len(rows))
-    values = [r[at] / max(1e-12, math.sqrt(float(r[at] @ r[at]))) for at in rows]
+    scales = [1 / max(1e-12, math.sqrt(float(r[at] @ r[at]))) for at in rows]
     share = np.where(y == 1, (y == 1).mean(), (y != 1).mean())
     most = cost * 0.5 / share
     rng = np.random.default_rng(seed)
@@ -73,10 +73,12 @@ def dual_descent(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, cost: flo
         moved = 0.0
         for i in rng.permutation(len(rows)).tolist():
             sign = 1.0 if y[i] == 1 else -1.0
-            gradient = sign * float(w[rows[i]] @ values[i]) - 1
+            at = rows[i]
+            x = r[at] * scales[i]
+            gradient = sign * float(w[at] @ x) - 1
             new = min(max(alpha[i] - gradient, 0.0), most[i])
             if new != alpha[i]:
-                w[rows[i]] += (new - alpha[i]) * sign * values[i]
+                w[at] += (new - alpha[i]) * sign * x
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
