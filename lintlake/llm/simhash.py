@@ -70,7 +70,10 @@ def fingerprints(docs: DataFrame, size: int, n64: int) -> DataFrame:
 
 
 def tiles(fps: DataFrame, n: int) -> DataFrame:
-    """Distinct fingerprints, cut into tiles: tile id, range of population counts, box of byte counts, the fingerprints."""
+    """Distinct fingerprints, cut into tiles: tile id, range of population counts, box of byte counts, the fingerprints.
+
+    However finely ranges are dealt, tiles are full: the fewer tile pairs, the fewer forests of one group.
+    """
 
     def keyed(batches):
         for b in batches:
@@ -101,7 +104,7 @@ def tiles(fps: DataFrame, n: int) -> DataFrame:
             yield tile(held)
 
     return (fps.mapInArrow(keyed, "fp binary, key binary").repartitionByRange(max(1, -(-n // TILE)), "key", "fp")
-            .sortWithinPartitions("key", "fp").mapInArrow(pack, "tile long, lo int, hi int, mins array<int>, maxs array<int>, fps binary"))
+            .sortWithinPartitions("key", "fp").coalesce(max(1, n // TILE)).mapInArrow(pack, "tile long, lo int, hi int, mins array<int>, maxs array<int>, fps binary"))
 
 
 def tile_pairs(cut: DataFrame, radius: int) -> DataFrame:
