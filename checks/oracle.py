@@ -84,7 +84,7 @@ EXT = """CASE WHEN ends_with(lower(path), 'dockerfile') OR contains(lower(path),
 def ready(source: str, name: str = "ready", where: str = "true") -> str:
     return f"""{name} AS (
   SELECT path, content, lang_id, lang_name, family FROM (SELECT *, {EXT} AS ext FROM {source}) JOIN langs USING (ext)
-  WHERE NOT {EXCLUDED} AND length(content) <= {dims.MAX_FILE_CHARS} AND {where})"""
+  WHERE NOT {EXCLUDED} AND {where})"""
 
 
 def exploded(source: str, name: str = "lines") -> str:
@@ -394,8 +394,8 @@ INTERVALS = [found("found_intervals", f"""{row('X09')} FROM (SELECT path, lang_i
   WHERE {JS} AND contains(text, 'setInterval(') AND path NOT IN (SELECT path FROM lines WHERE contains(text, 'clearInterval(')) GROUP BY ALL)""")]
 
 
-def frameworks(forced=()) -> str:
-    parts = [f"SELECT {s(n)} AS framework WHERE EXISTS (SELECT 1 FROM ready WHERE {' OR '.join(rx('content', p) for p in ps)})" for n, ps in FW.DETECT.items()]
+def frameworks(forced=(), source: str = "ready") -> str:
+    parts = [f"SELECT {s(n)} AS framework WHERE EXISTS (SELECT 1 FROM {source} WHERE {' OR '.join(rx('content', p) for p in ps)})" for n, ps in FW.DETECT.items()]
     parts += [f"SELECT {s(n)}" for n in forced]
     return "active AS MATERIALIZED (" + " UNION ".join(parts) + ")"
 
@@ -453,8 +453,10 @@ ORDER = "ORDER BY sev_rank DESC, line_no, analyzer, step, pos, ord"
 REL = f"replace({NORM}, '{ROOT}/', '')"
 
 
-def review(config: ReviewConfig, where: str = "true", source: str = "code", in_file: bool = False) -> list[str]:
-    """All analyzers, filters and dedup: CTE ``reviewed``. ``where`` limits the files."""
+def review(config: ReviewConfig, where: str = "true", source: str = "code", in_file: bool = False, ignores: bool = True) -> list[str]:
+    """All analyzers, filters and dedup: CTE ``reviewed``. ``where`` limits the files, not those that frameworks are looked for in."""
+    if ignores and config.ignore_paths:
+        where = f"{where} AND NOT ({' OR '.join(f"contains({NORM}, '/{n}/')" for n in config.ignore_paths)})"
     parts = ["found_security", "found_performance", "found_runtime", "found_style", "found_user", "found_context", "found_todo", "found_naming",
              "found_forbidden", "found_unreachable", "found_empty_catch", "found_awaits", "found_json", "found_destructure", "found_timeout",
              "found_nested", "found_long", "found_complex", "found_async", "found_switch", "found_unused", "found_listeners", "found_intervals",
@@ -469,7 +471,8 @@ def review(config: ReviewConfig, where: str = "true", source: str = "code", in_f
         scan(custom, "found_user"), scan([R.BY_UID[u] for u in ("X02", "X08", "X11")], "found_context"), TODO, NAMING,
         forbidden(config.forbidden_functions), UNREACHABLE, EMPTY_CATCH, AWAITS, JSON_TRY, DESTRUCTURE, TIMEOUT, NESTED, *FUNCTIONS, *COMPLEXITY,
         long_found(config.max_function_length), complex_found(config.max_complexity), *ASYNC, *SWITCH, *unused(), *LISTENERS, *INTERVALS,
-        per_file, frameworks(), *duplicates(config.block_lines, in_file),
+        per_file, *([] if where == "true" else [ready(source, "ready_all")]), frameworks(source="ready" if where == "true" else "ready_all"),
+        *duplicates(config.block_lines, in_file),
         "found AS (" + " UNION ALL ".join(f"SELECT {SLIM} FROM {n}" for n in parts) + ")",
         dim(list(R.BY_UID.values()) + custom), full("found"),
         f"""filtered AS (SELECT * FROM full_findings JOIN file_fws USING (path) WHERE sev_rank >= {dims.SEVERITY_RANK[config.severity_threshold]}
@@ -518,9 +521,9 @@ def header_of_report(markdown: bool) -> str:
     return "SELECT '' AS path, " + " || chr(10) || ".join(lines) + " AS section"
 
 
-FIXED = f"""choices AS (SELECT path, line_no, arg_min(rule_id, CASE rule_id WHEN 'ast/unused-variable' THEN 0 WHEN 'ast/no-var' THEN 1 WHEN 'ast/strict-equality' THEN 2 ELSE 3 END) AS rule_id
+FIXED = f"""choices AS MATERIALIZED (SELECT path, line_no, arg_min(rule_id, CASE rule_id WHEN 'ast/unused-variable' THEN 0 WHEN 'ast/no-var' THEN 1 WHEN 'ast/strict-equality' THEN 2 ELSE 3 END) AS rule_id
   FROM kept WHERE rule_id IN ('ast/unused-variable', 'ast/no-var', 'ast/strict-equality', 'ai/json-parse-no-try') GROUP BY ALL),
-edited AS (SELECT l.path, l.line_no, l.text AS old_text, c.rule_id, CASE c.rule_id WHEN 'ast/unused-variable' THEN NULL
+edited AS MATERIALIZED (SELECT l.path, l.line_no, l.text AS old_text, c.rule_id, CASE c.rule_id WHEN 'ast/unused-variable' THEN NULL
     WHEN 'ast/no-var' THEN regexp_replace(l.text, '\\bvar\\b', 'const')
     WHEN 'ast/strict-equality' THEN regexp_replace(l.text, '([^!=<>])={{2}}([^=])', '\\1===\\2')
     WHEN 'ai/json-parse-no-try' THEN regexp_extract(l.text, '^(\\s*)', 1) || 'try {{' || chr(10) || l.text || chr(10) || regexp_extract(l.text, '^(\\s*)', 1)
@@ -617,12 +620,12 @@ def build() -> dict[str, str]:
         "sink_markdown": sql([*KEPT, STATUS], f"{blocks_of_report(True)} UNION ALL {header_of_report(True)}"),
         "sink_text": sql([*KEPT, STATUS], f"{blocks_of_report(False)} UNION ALL {header_of_report(False)}"),
         "relative_path": sql([CODE], f"SELECT CASE WHEN contains(path, '/lib') THEN replace(path, '/', chr(92)) ELSE path END AS path, substring(path, {len(ROOT) + 2}) AS rel FROM code"),
-        "fix_lines": sql([*KEPT, FIXED], "SELECT path, line_no, old_text, new_text, rule_id FROM edited WHERE rule_id IS NOT NULL"),
+        "fix_lines": sql([*KEPT, FIXED.replace("LEFT JOIN choices", "JOIN choices")], "SELECT path, line_no, old_text, new_text, rule_id FROM edited WHERE rule_id IS NOT NULL"),
         "apply_fixes": sql([*KEPT, FIXED], f"""SELECT path, coalesce(string_agg(new_text, {LF} ORDER BY line_no) FILTER (new_text IS NOT NULL), '') AS content FROM edited GROUP BY path"""),
         "fix_hint": sql(KEPT, "SELECT DISTINCT path, line_no, rule_id, 'Fix: ' || substring(suggested_fix, 1, 80) AS hint FROM kept"),
         "review_full": sql(review(strict), NO_TEXT + "reviewed"),
-        "review_changed": sql(review(strict, CHANGED), NO_TEXT + "reviewed"),
-        "review_staged": sql(review(Q.strict(severity_threshold="Medium"), CHANGED), NO_TEXT + "reviewed"),
+        "review_changed": sql(review(strict, CHANGED, ignores=False), NO_TEXT + "reviewed"),
+        "review_staged": sql(review(Q.strict(severity_threshold="Medium"), CHANGED, ignores=False), NO_TEXT + "reviewed"),
         "review_path_prefix": sql(review(strict, f"starts_with(path, '{ROOT}/src/')", in_file=True), NO_TEXT + "reviewed"),
         "content_hash": sql([CODE, TEXT, BOTH], f"SELECT path, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INTEGER AS hash32 FROM (SELECT path, {HASH} AS h FROM both_files)"),
         "incremental_review": sql(review(strict), NO_TEXT + "reviewed"),

@@ -50,6 +50,7 @@ class ReviewConfig:
     whitelisted_functions: tuple[str, ...] = ()
     whitelisted_patterns: tuple[str, ...] = ()
     framework_scope: str = "corpus"      # or "file"
+    max_file_chars: int | None = None    # longer files are not reviewed; their status says so
 
     @cached_property
     def user_rules(self) -> tuple[Rule, ...]:

@@ -92,20 +92,22 @@ def brace_extent(lines: DataFrame, counts: dict[str, int]) -> DataFrame:
     marks = F.when(F.col("start").isNotNull(), F.array_insert("braces", 1, F.lit(""))).otherwise(F.col("braces"))
     events = rows.select(*[c for c in rows.columns if c != "braces"], F.posexplode_outer(marks).alias("k", "mark"))
     by_pos = W.partitionBy("path").orderBy("line_no", "k")
+    # "the next one" is a running minimum from the end: a frame that grows, which is linear; one that shrinks is made anew for each row
+    from_end = W.partitionBy("path").orderBy(F.desc("line_no"), F.desc("k"))
     step = F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0)
     here = F.struct("line_no", "k")
     events = (events.where(F.col("mark").isNotNull()).withColumn("depth", F.sum(step).over(by_pos.rowsBetween(W.unboundedPreceding, 0)))
               .withColumn("opening", F.min(F.when(F.col("mark") == "{", here)).over(
-                  by_pos.rowsBetween(0, W.unboundedFollowing))))
+                  from_end.rowsBetween(W.unboundedPreceding, 0))))
 
     is_start = F.col("mark") == ""
     spot = F.when(is_start, F.col("opening")).otherwise(here)
-    at_depth = W.partitionBy("path", "depth").orderBy("spot.line_no", "spot.k", F.col("is_start").desc())
+    at_depth = W.partitionBy("path", "depth").orderBy(F.desc("spot.line_no"), F.desc("spot.k"), F.col("is_start").asc())
     carried = F.struct("line_no", "k", *[f"{c}_here" for c in counts])
     closed = (events.withColumn("spot", spot).withColumn("is_start", is_start)
               .where(F.col("spot").isNotNull() | F.col("is_start"))
               .withColumn("end", F.min(F.when(~F.col("is_start"), carried)).over(
-                  at_depth.rowsBetween(0, W.unboundedFollowing)))
+                  at_depth.rowsBetween(W.unboundedPreceding, 0)))
               .where("is_start"))
     never = F.col("spot").isNull()
     return closed.select(
@@ -145,9 +147,9 @@ def indent_extent(lines: DataFrame, counts: list[str]) -> DataFrame:
     shut = F.transform("closes", lambda x: F.struct(x.alias("level"), F.lit(False).alias("is_start")))
     marks = F.concat(F.coalesce(own, F.array().cast("array<struct<level:int,is_start:boolean>>")), shut)
     events = rows.select(*[c for c in rows.columns if c not in ("closes", "indent")], F.inline_outer(marks))
-    by_level = W.partitionBy("path", "level").orderBy("line_no", "is_start")
+    by_level = W.partitionBy("path", "level").orderBy(F.desc("line_no"), F.desc("is_start"))
     carried = F.struct("line_no", *[f"{c}_before" for c in counts])
-    ends = (events.where(F.col("level").isNotNull()).withColumn("end", F.min(F.when(~F.col("is_start"), carried)).over(by_level.rowsBetween(1, W.unboundedFollowing)))
+    ends = (events.where(F.col("level").isNotNull()).withColumn("end", F.min(F.when(~F.col("is_start"), carried)).over(by_level.rowsBetween(W.unboundedPreceding, -1)))
             .where("is_start"))
     return ends.select(
         "path", "lang_id", "line_no", "n_lines", "text", "start",

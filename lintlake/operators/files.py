@@ -1,7 +1,7 @@
 """File-level projections and filters, and the step from files to lines.
 
-A file is one row (path, content) and at most MAX_FILE_CHARS long, so whatever is
-computed per file stays inside its row: none of these operators shuffles.
+A file is one row (path, content), so whatever is computed per file stays inside its row: none of these operators shuffles. A limit
+on the length of reviewed files is a setting, off by default; files beyond it carry the status ``too_large``.
 """
 
 from __future__ import annotations
@@ -60,15 +60,19 @@ def detect_language(files: DataFrame) -> DataFrame:
     return files.withColumn("ext", ext).join(F.broadcast(languages), "ext", "left").drop("ext")
 
 
-def result_status(files: DataFrame) -> DataFrame:
-    """Every file with the language its result carries: ``excluded``, ``unknown`` or the name."""
-    status = F.when(is_excluded(F.col("path")), "excluded").otherwise(F.coalesce("lang_name", F.lit("unknown")))
-    return files.select("path", status.alias("language"))
+def result_status(files: DataFrame, cap: int | None = None) -> DataFrame:
+    """Every file with the language its result carries: ``excluded``, ``too_large`` (beyond the cap, if one is set), ``unknown`` or the name."""
+    status = F.when(is_excluded(F.col("path")), "excluded")
+    if cap is not None:
+        status = status.when(~within_size_cap(F.col("content"), cap), "too_large")
+    return files.select("path", status.otherwise(F.coalesce("lang_name", F.lit("unknown"))).alias("language"))
 
 
-def reviewable(files: DataFrame) -> DataFrame:
-    """Files the analyzers look at, with their language."""
-    kept = filter_size_cap(filter_excluded_dirs(files.select("path", "content")))
+def reviewable(files: DataFrame, cap: int | None = None) -> DataFrame:
+    """Files the analyzers look at, with their language; with a cap, only files up to it."""
+    kept = filter_excluded_dirs(files.select("path", "content"))
+    if cap is not None:
+        kept = filter_size_cap(kept, cap)
     return detect_language(kept).where(F.col("lang_id").isNotNull())
 
 

@@ -135,6 +135,9 @@ def _count(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch)))
 
 
+CHUNK = 256
+
+
 def nested_loop_hits() -> Column:
     """A running depth over the lines that open a loop or close more braces than they open; it never
     falls below zero. Files with fewer than three loops cannot reach depth three."""
@@ -143,7 +146,11 @@ def nested_loop_hits() -> Column:
         F.greatest(F.lit(0), _count(x, "}") - _count(x, "{")).alias("dec"), x.alias("text"))),
         lambda m: (m["inc"] > 0) | (m["dec"] > 0))
     state = f"struct<depth:int,outer:int,hits:array<{FIND}>>"
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("outer"), F.array().alias("hits")).cast(state)
+    whole = f"struct<depth:int,outer:int,hits:array<array<{FIND}>>>"
+    # an array that grows by one is copied: hits grow inside chunks, chunks in a list of their own
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(moves) - 1) / CHUNK).cast("int")), lambda c: F.slice(moves, c * CHUNK + 1, CHUNK))
+    chunks = F.when(F.size(moves) > 0, chunks).otherwise(F.slice(F.array(moves), 1, 0))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("outer"), F.array().alias("hits")).cast(whole)
 
     def step(acc: Column, m: Column) -> Column:
         at = acc["depth"] + m["inc"]
@@ -152,7 +159,12 @@ def nested_loop_hits() -> Column:
         hits = F.when((m["inc"] == 1) & (at >= 3), F.array_append(acc["hits"], hit)).otherwise(acc["hits"])
         return F.struct(F.greatest(F.lit(0), at - m["dec"]).alias("depth"), outer.alias("outer"), hits.alias("hits")).cast(state)
 
-    return F.when(F.regexp_count("content", F.lit(LOOP)) >= 3, F.aggregate(moves, zero, step, lambda acc: acc["hits"]))
+    def walk(acc: Column, chunk: Column) -> Column:
+        start = F.struct(acc["depth"].alias("depth"), acc["outer"].alias("outer"), F.array().alias("hits")).cast(state)
+        return F.aggregate(chunk, start, step, lambda end: F.struct(
+            end["depth"].alias("depth"), end["outer"].alias("outer"), F.array_append(acc["hits"], end["hits"]).alias("hits")).cast(whole))
+
+    return F.when(F.regexp_count("content", F.lit(LOOP)) >= 3, F.aggregate(chunks, zero, walk, lambda acc: F.flatten(acc["hits"])))
 
 
 def win_nested_loops(files: DataFrame) -> DataFrame:

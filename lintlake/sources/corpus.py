@@ -27,9 +27,7 @@ def scan_corpus(raw: DataFrame, ignore_paths=tuple(dims.DEFAULT_IGNORE_PATHS), i
     exts = "|".join(escape_literal(e) for e in sorted({r[0] for r in dims.extension_rows()}))
     named = filter_ignore_paths(filter_excluded_dirs(raw), tuple(ignore_paths)).where(F.col("path").rlike(f"(?:{exts})\\z"))
     kept = filter_ignore_patterns(named, tuple(ignore_patterns))
-    # a UTF-16 unit takes at most three bytes of UTF-8, so longer files are over the cap for sure
-    return (kept.where(F.col("length") <= 3 * dims.MAX_FILE_CHARS)
-            .select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
+    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def listed_paths(raw: DataFrame, root: str) -> DataFrame:

@@ -8,8 +8,6 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 500_000
-
 
 def small_table(spark: SparkSession, rows: list[tuple], names: list[str], types: dict | None = None) -> DataFrame:
     """A catalog as a local relation (no Python rows at run time)."""
@@ -19,16 +17,16 @@ def small_table(spark: SparkSession, rows: list[tuple], names: list[str], types:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables: in the shared folder of the cluster if one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lintlake-")
+    """A new folder for intermediate tables, in the folder all executors share (spark.checkpoint.dir). Only a local session,
+    where executors and driver are one process, may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lintlake-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def small_enough(keys: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a list of slim keys may be broadcast: it is counted, up to the limit."""
-    return keys.limit(limit + 1).count() <= limit
-
-
 def spread(rows: DataFrame) -> DataFrame:
     """Rows that stand for much work each: over all cores when the table has fewer splits than that
     (a table of many splits is left as it is)."""
