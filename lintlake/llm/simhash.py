@@ -26,6 +26,7 @@ from lintlake.llm.graph import components
 TILE = 16384
 INNER = 256
 PIECE = 1 << 15
+SPANS = 8
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -131,25 +132,37 @@ class Forest:
             x = parent[x]
         return x
 
-    def grow(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-        """Those of the given links that join two trees."""
-        new = []
+    def grow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of those of the given links that join two trees; earlier links come first."""
         ends = np.unique(np.concatenate([i, j]))
-        roots = np.array([self.root(x) for x in ends.tolist()])
+        roots = np.array([self.root(x) for x in ends.tolist()], np.int64)
         ri, rj = roots[np.searchsorted(ends, i)], roots[np.searchsorted(ends, j)]
-        apart = ri != rj
-        i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
         first = np.sort(np.unique(ri * len(self.parent) + rj, return_index=True)[1])
-        for x, y in zip(i[first].tolist(), j[first].tolist()):
-            a, b = self.root(x), self.root(y)
+        used = []
+        for n in first[ri[first] != rj[first]].tolist():
+            a, b = self.root(int(i[n])), self.root(int(j[n]))
             if a != b:
                 self.parent[max(a, b)] = min(a, b)
-                new.append((x, y))
-        return new
+                used.append(n)
+        return np.array(used, np.int64)
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Links within the radius that join trees, as row numbers of a and b; close pairs are joined before far ones.
+def spanning(forests: list[Forest], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that the first forest takes, then of the rest those that the second takes, and so on."""
+    out_i, out_j = [i[:0]], [j[:0]]
+    for forest in forests:
+        used = forest.grow(i, j)
+        out_i.append(i[used])
+        out_j.append(j[used])
+        i, j = np.delete(i, used), np.delete(j, used)
+        if not len(i):
+            break
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, spans: int = 1) -> list[tuple[int, int]]:
+    """Links within the radius, as row numbers of a and b: a spanning forest of them, or that many forests without a link in common (links
+    that are checked afterwards may fail, and others then hold their groups together). Close pairs are joined before far ones.
 
     a, b: (n, words) of 64 bits, sorted by order_key. same: a is b, pairs are taken once.
     """
@@ -159,7 +172,8 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple
         return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
 
     (alo, ahi), (blo, bhi) = boxes(a), boxes(b)
-    forest, links, later = Forest(len(a) + (0 if same else len(b))), [], []
+    forests = [Forest(len(a) + (0 if same else len(b))) for _ in range(spans)]
+    found, later = [], []
     shift = 0 if same else len(a)
     for p in range(len(alo)):
         gaps = np.maximum(0, np.maximum(alo[p] - bhi, blo - ahi[p])).sum(axis=1)
@@ -175,26 +189,20 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple
                 i, j = i[i < j], j[i < j]
             if not len(i):
                 continue
-            near = bits[i, j] <= radius // 2
-            i, j = i + p * INNER, j + q * INNER + shift
-            links += forest.grow(i[near], j[near])
-            if not near.all():
-                later.append(forest_rest(i[~near], j[~near]))
-    for i, j in later:
-        links += forest.grow(i, j)
-    return [(i, j - shift) for i, j in links]
-
-
-def forest_rest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of links, as smaller arrays to keep."""
-    ends = np.unique(np.concatenate([i, j]))
-    kept = Forest(len(ends)).grow(np.searchsorted(ends, i), np.searchsorted(ends, j))
-    rows = np.array(kept, np.int64).reshape(-1, 2)
-    return ends[rows[:, 0]], ends[rows[:, 1]]
-
-
-def links(cut: DataFrame, radius: int) -> DataFrame:
-    """u, v: fingerprints (binary) within the radius of each other; per tile pair a spanning forest of them."""
+            order = np.argsort(bits[i, j], kind="stable")
+            near = int((bits[i, j] <= radius // 2).sum())
+            i, j = i[order] + p * INNER, j[order] + q * INNER + shift
+            found.append(spanning(forests, i[:near], j[:near]))
+            if near < len(i):
+                ends = np.unique(np.concatenate([i[near:], j[near:]]))
+                x, y = spanning([Forest(len(ends)) for _ in range(spans)], np.searchsorted(ends, i[near:]), np.searchsorted(ends, j[near:]))
+                later.append((ends[x], ends[y]))
+    found += [spanning(forests, i, j) for i, j in later]
+    return [(x, y - shift) for i, j in found for x, y in zip(i.tolist(), j.tolist())]
+
+
+def links(cut: DataFrame, radius: int, spans: int = 1) -> DataFrame:
+    """u, v: fingerprints (binary) within the radius of each other; per tile pair `spans` spanning forests of them."""
     width = F.size("mins")
     pairs = tile_pairs(cut, radius)
     w = Written(cut.sparkSession)
@@ -207,7 +215,7 @@ def links(cut: DataFrame, radius: int) -> DataFrame:
             for r in range(batch.num_rows):
                 one = {n: batch.column(n)[r].as_py() for n in ("a", "b", "a_fps", "b_fps", "width")}
                 x, y = (np.frombuffer(one[c], np.uint64).reshape(-1, one["width"] // 8) for c in ("a_fps", "b_fps"))
-                found = np.array(compare(x, y, radius, one["a"] == one["b"]), np.int64).reshape(-1, 2)
+                found = np.array(compare(x, y, radius, one["a"] == one["b"], spans), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x[found[:, 0]]], pa.binary()),
                                                   pa.array([v.tobytes() for v in y[found[:, 1]]], pa.binary())], ["u", "v"])
 
@@ -247,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, n64: int =
 
     Documents of one fingerprint are one node (a group of copies is aggregated before anything is compared), and links join nodes.
     least: links must also have this Jaccard similarity of shingle sets; checked exactly, on the closest links that
-    hold each tile pair's groups together. Null texts are empty; documents without words have fingerprint zero and
+    hold each tile pair's groups together, SPANS times over, so that a link that fails is made good by others. Null texts are empty; documents without words have fingerprint zero and
     link like any other. Repeated rows give repeated rows. A null doc_id is no component's least unless all are
     null, and such documents are not checked by `least`, which needs the id. Other columns are ignored.
     """
@@ -255,7 +263,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, n64: int =
     marked = w.put(fingerprints(docs, size, n64), "fingerprints")
     reps = w.put(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
     cut = w.put(tiles(reps.select("fp"), reps.count()), "tiles")
-    found = w.put(links(cut, radius).distinct(), "links")
+    found = w.put(links(cut, radius, 1 if least is None else SPANS).distinct(), "links")
     w.drop(cut)
     if least is not None:
         found = w.put(alike(docs, reps, found, size, least), "alike")

@@ -73,6 +73,8 @@ def test_compare_is_exact(radius, words):
     assert roots(len(fps), compare(fps, fps, radius, True)) == want
     half = len(fps) // 2
     parts = compare(fps[:half], fps[:half], radius, True) + [(i, j + half) for i, j in compare(fps[:half], fps[half:], radius, False)]
+    many = compare(fps, fps, radius, True, 3)
+    assert roots(len(fps), many) == want and len(set(many)) == len(many) and all(bits[i, j] <= radius for i, j in many)
     parts += [(i + half, j + half) for i, j in compare(fps[half:], fps[half:], radius, True)]
     assert roots(len(fps), parts) == want
 
