@@ -8,11 +8,16 @@ tile pairs whose boxes are further apart than the radius are skipped unseen. Not
 Spark sorts and cuts the fingerprints into tiles, pairs the tiles by overlapping ranges of counts (an equality join on the
 count), and spreads the pairs over all tasks. A tile pair yields a spanning forest of its links, not the links, so a
 group of thousands of near copies gives no more rows than it has members per pair of tiles.
+
+Where links must also be alike in their shingle sets, the forests only say which fingerprints can belong together. Those groups are cut
+into tiles again, now with the shingle sets, and in each pair of tiles every close pair is checked unless links that
+passed already join its ends: no candidate is left out, and a group of true copies costs few checks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,9 @@ from lintlake.llm.graph import components
 TILE = 16384
 INNER = 256
 PIECE = 1 << 15
-SPANS = 8
+#: Tiles that carry shingle sets: fingerprints, and shingles of all of them (a text of more is a tile of its own)
+SET_TILE, SET_GRAMS = 4096, 1 << 20
+CHECKS = 4096
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -132,12 +139,14 @@ class Forest:
             x = parent[x]
         return x
 
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        ends, back = np.unique(x, return_inverse=True)
+        return np.array([self.root(e) for e in ends.tolist()], np.int64)[back]
+
     def grow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Places of those of the given links that join two trees; earlier links come first."""
-        ends = np.unique(np.concatenate([i, j]))
-        roots = np.array([self.root(x) for x in ends.tolist()], np.int64)
-        ri, rj = roots[np.searchsorted(ends, i)], roots[np.searchsorted(ends, j)]
-        first = np.sort(np.unique(ri * len(self.parent) + rj, return_index=True)[1])
+        """Places of those of the given links that join two trees."""
+        ri, rj = self.roots(i), self.roots(j)
+        first = np.unique(ri * len(self.parent) + rj, return_index=True)[1]
         used = []
         for n in first[ri[first] != rj[first]].tolist():
             a, b = self.root(int(i[n])), self.root(int(j[n]))
@@ -147,22 +156,16 @@ class Forest:
         return np.array(used, np.int64)
 
 
-def spanning(forests: list[Forest], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that the first forest takes, then of the rest those that the second takes, and so on."""
-    out_i, out_j = [i[:0]], [j[:0]]
-    for forest in forests:
-        used = forest.grow(i, j)
-        out_i.append(i[used])
-        out_j.append(j[used])
-        i, j = np.delete(i, used), np.delete(j, used)
-        if not len(i):
-            break
-    return np.concatenate(out_i), np.concatenate(out_j)
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of every row of x and every row of y."""
+    bits = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    for k in range(1, x.shape[1]):
+        bits += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    return bits
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, spans: int = 1) -> list[tuple[int, int]]:
-    """Links within the radius, as row numbers of a and b: a spanning forest of them, or that many forests without a link in common (links
-    that are checked afterwards may fail, and others then hold their groups together). Close pairs are joined before far ones.
+def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links within the radius, as row numbers of a and b.
 
     a, b: (n, words) of 64 bits, sorted by order_key. same: a is b, pairs are taken once.
     """
@@ -172,37 +175,77 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, spans: int =
         return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
 
     (alo, ahi), (blo, bhi) = boxes(a), boxes(b)
-    forests = [Forest(len(a) + (0 if same else len(b))) for _ in range(spans)]
-    found, later = [], []
     shift = 0 if same else len(a)
+    forest, found = Forest(len(b) + shift), []
     for p in range(len(alo)):
         gaps = np.maximum(0, np.maximum(alo[p] - bhi, blo - ahi[p])).sum(axis=1)
         for q in np.flatnonzero(gaps <= radius).tolist():
             if same and q < p:
                 continue
-            x, y = a[p * INNER:(p + 1) * INNER], b[q * INNER:(q + 1) * INNER]
-            bits = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-            for k in range(1, a.shape[1]):
-                bits += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-            i, j = np.nonzero(bits <= radius)
+            i, j = np.nonzero(distances(a[p * INNER:(p + 1) * INNER], b[q * INNER:(q + 1) * INNER]) <= radius)
             if same and p == q:
                 i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
-            order = np.argsort(bits[i, j], kind="stable")
-            near = int((bits[i, j] <= radius // 2).sum())
-            i, j = i[order] + p * INNER, j[order] + q * INNER + shift
-            found.append(spanning(forests, i[:near], j[:near]))
-            if near < len(i):
-                ends = np.unique(np.concatenate([i[near:], j[near:]]))
-                x, y = spanning([Forest(len(ends)) for _ in range(spans)], np.searchsorted(ends, i[near:]), np.searchsorted(ends, j[near:]))
-                later.append((ends[x], ends[y]))
-    found += [spanning(forests, i, j) for i, j in later]
-    return [(x, y - shift) for i, j in found for x, y in zip(i.tolist(), j.tolist())]
-
-
-def links(cut: DataFrame, radius: int, spans: int = 1) -> DataFrame:
-    """u, v: fingerprints (binary) within the radius of each other; per tile pair `spans` spanning forests of them."""
+            if len(i):
+                i, j = i + p * INNER, j + q * INNER
+                used = forest.grow(i, j + shift)
+                found += zip(i[used].tolist(), j[used].tolist())
+    return found
+
+
+@dataclass
+class Sets:
+    """Fingerprints (n, words) with their sets of shingle hashes, one after the other."""
+
+    fps: np.ndarray
+    sizes: np.ndarray
+    grams: np.ndarray
+
+
+def compare_sets(a: Sets, b: Sets, radius: int, least: float, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links within the radius whose sets have a Jaccard similarity of at least `least`.
+
+    Every close pair is checked, near ones first, but for those whose ends are joined already by links that passed.
+    """
+    ids = np.unique(np.concatenate([a.grams, b.grams]), return_inverse=True)[1]
+    a_sets = np.split(ids[:len(a.grams)], np.cumsum(a.sizes)[:-1])
+    b_sets = np.split(ids[len(a.grams):], np.cumsum(b.sizes)[:-1])
+    seen = np.zeros(len(ids), bool)
+
+    def passed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for x in np.unique(i).tolist():
+            at = np.flatnonzero(i == x)
+            others = [b_sets[y] for y in j[at].tolist()]
+            sizes = b.sizes[j[at]]
+            seen[a_sets[x]] = True
+            common = np.add.reduceat(seen[np.concatenate(others)], np.cumsum(sizes) - sizes, dtype=np.int64)
+            seen[a_sets[x]] = False
+            out[at] = common >= least * (a.sizes[x] + sizes - common)
+        return out
+
+    shift = 0 if same else len(a.fps)
+    forest, found = Forest(len(b.fps) + shift), []
+    for p in range(0, len(a.fps), INNER):
+        bits = distances(a.fps[p:p + INNER], b.fps)
+        small, large = (f(a.sizes[p:p + INNER, None], b.sizes[None, :]) for f in (np.minimum, np.maximum))
+        i, j = np.nonzero((bits <= radius) & (small > 0) & (small >= least * large - 1e-6))
+        order = np.argsort(bits[i, j], kind="stable")
+        i, j = i[order] + p, j[order]
+        if same:
+            i, j = i[i < j], j[i < j]
+        for start in range(0, len(i), CHECKS):
+            ci, cj = i[start:start + CHECKS], j[start:start + CHECKS]
+            apart = forest.roots(ci) != forest.roots(cj + shift)
+            ci, cj = ci[apart], cj[apart]
+            good = passed(ci, cj)
+            ci, cj = ci[good], cj[good]
+            used = forest.grow(ci, cj + shift)
+            found += zip(ci[used].tolist(), cj[used].tolist())
+    return found
+
+
+def links(cut: DataFrame, radius: int) -> DataFrame:
+    """u, v: fingerprints (binary) within the radius of each other; per tile pair a spanning forest of them."""
     width = F.size("mins")
     pairs = tile_pairs(cut, radius)
     w = Written(cut.sparkSession)
@@ -215,58 +258,106 @@ def links(cut: DataFrame, radius: int, spans: int = 1) -> DataFrame:
             for r in range(batch.num_rows):
                 one = {n: batch.column(n)[r].as_py() for n in ("a", "b", "a_fps", "b_fps", "width")}
                 x, y = (np.frombuffer(one[c], np.uint64).reshape(-1, one["width"] // 8) for c in ("a_fps", "b_fps"))
-                found = np.array(compare(x, y, radius, one["a"] == one["b"], spans), np.int64).reshape(-1, 2)
+                found = np.array(compare(x, y, radius, one["a"] == one["b"]), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x[found[:, 0]]], pa.binary()),
                                                   pa.array([v.tobytes() for v in y[found[:, 1]]], pa.binary())], ["u", "v"])
 
     return left.join(right, ["a", "b"]).mapInArrow(run, "u binary, v binary")
 
 
-def alike(docs: DataFrame, reps: DataFrame, found: DataFrame, size: int, least: float) -> DataFrame:
-    """Links whose documents' sets of word shingles have a Jaccard similarity of at least `least`.
+def set_tiles(docs: DataFrame, reps: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Fingerprints that have candidate links, with their shingle sets, cut into tiles by group: tile, first and last group, payloads.
 
-    reps: fp and the document that stands for it. Sets of shingle hashes are made for linked documents alone.
+    reps: fp and the document that stands for it; nodes: fp and root, the group. Sets are made for linked documents alone.
     """
-    nodes = found.select(F.col("u").alias("fp")).unionByName(found.select(F.col("v").alias("fp"))).distinct()
-    wanted = nodes.join(reps.where("doc IS NOT NULL"), "fp").select("fp", F.col("doc").alias("doc_id"))
+    wanted = nodes.join(reps.where("doc IS NOT NULL"), "fp").select("fp", "root", F.col("doc").alias("doc_id"))
 
     def run(batches):
         for whole in batches:
             for batch in in_parts(whole):
-                fps, sets = [], []
-                for fp, text in zip(batch.column("fp").to_pylist(), batch.column("text").to_pylist()):
+                kept, sets, sizes = [], [], []
+                for n, (fp, text) in enumerate(zip(batch.column("fp").to_pylist(), batch.column("text").to_pylist())):
                     words = words_of(text)
                     if fingerprint(words, size, len(fp) // 8) == fp:
-                        fps.append(fp)
-                        sets.append(np.unique(np.array([xxhash.xxh3_64_intdigest(g) >> 1 for g in shingles(words, size)], np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
+                        grams = np.unique(np.array([xxhash.xxh3_64_intdigest(g) >> 1 for g in shingles(words, size)], np.int64))
+                        kept.append(n)
+                        sets.append(grams.tobytes())
+                        sizes.append(len(grams))
+                rows = batch.select(["root", "fp"]).take(pa.array(kept, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["root", "fp", "size", "grams"])
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        part, made, held, total = TaskContext.get().partitionId(), 0, [], 0
+
+        def tile():
+            nonlocal made
+            made += 1
+            roots, fps, sizes, grams = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 24) + made], pa.int64()), pa.array([roots[0]], pa.binary()), pa.array([roots[-1]], pa.binary()), pa.array([b"".join(fps)], pa.binary()),
+                 pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), pa.array([b"".join(grams)], pa.binary())], ["tile", "first", "last", "fps", "sizes", "grams"])
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("root", "fp", "size", "grams"))):
+                if held and (len(held) >= SET_TILE or total + r[2] > SET_GRAMS):
+                    yield tile()
+                    held, total = [], 0
+                held.append(r)
+                total += r[2]
+        if held:
+            yield tile()
 
     texts = doc_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).join(wanted, "doc_id")
     w = Written(docs.sparkSession)
-    sets = w.put(texts.select("fp", "text").mapInArrow(run, "fp binary, grams array<bigint>").dropDuplicates(["fp"]), "sets")
-    both = (found.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("g")), "u")
-            .join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("h")), "v"))
-    common = F.size(F.array_intersect("g", "h"))
-    return both.where(common >= least * (F.size("g") + F.size("h") - common)).select("u", "v")
+    sets = w.put(texts.select("root", "fp", "text").mapInArrow(run, "root binary, fp binary, size long, grams binary").dropDuplicates(["fp"]), "sets")
+    n, grams = sets.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return (sets.repartitionByRange(1 + max(n // SET_TILE, grams // SET_GRAMS), "root", "fp").sortWithinPartitions("root", "fp")
+            .mapInArrow(pack, "tile long, first binary, last binary, fps binary, sizes binary, grams binary"))
+
+
+def alike(cut: DataFrame, radius: int, least: float) -> DataFrame:
+    """u, v: fingerprints within the radius whose shingle sets have a Jaccard similarity of at least `least`; a spanning forest of
+    them per pair of tiles. Tiles are sorted by group, so groups that two tiles share are the first or last of both."""
+    ends = cut.select("tile", F.explode(F.array_distinct(F.array("first", "last"))).alias("root"))
+    w = Written(cut.sparkSession)
+    pairs = w.put(ends.withColumnRenamed("tile", "a").join(ends.withColumnRenamed("tile", "b"), "root").where("a <= b").select("a", "b").distinct(), "pairs")
+    left = pairs.join(cut.select(F.col("tile").alias("a"), *[F.col(c).alias("a_" + c) for c in ("fps", "sizes", "grams")]), "a")
+    right = pairs.join(cut.select(F.col("tile").alias("b"), *[F.col(c).alias("b_" + c) for c in ("fps", "sizes", "grams")]), "b")
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
+                x, y = (Sets(np.frombuffer(one[t + "_fps"], np.uint64).reshape(len(one[t + "_sizes"]) // 8, -1), np.frombuffer(one[t + "_sizes"], np.int64),
+                             np.frombuffer(one[t + "_grams"], np.int64)) for t in "ab")
+                found = np.array(compare_sets(x, y, radius, least, one["a"] == one["b"]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x.fps[found[:, 0]]], pa.binary()),
+                                                  pa.array([v.tobytes() for v in y.fps[found[:, 1]]], pa.binary())], ["u", "v"])
+
+    return left.join(right, ["a", "b"]).mapInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, n64: int = 1, least: float | None = None) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the least doc_id reachable over links of at most `radius` differing bits.
 
     Documents of one fingerprint are one node (a group of copies is aggregated before anything is compared), and links join nodes.
-    least: links must also have this Jaccard similarity of shingle sets; checked exactly, on the closest links that
-    hold each tile pair's groups together, SPANS times over, so that a link that fails is made good by others. Null texts are empty; documents without words have fingerprint zero and
-    link like any other. Repeated rows give repeated rows. A null doc_id is no component's least unless all are
+    least: links must also have this Jaccard similarity of shingle sets, which is checked exactly for every link that could still join
+    two components. Null texts are empty; documents without words have fingerprint zero and link like any other. Repeated rows give repeated rows. A null doc_id is no component's least unless all are
     null, and such documents are not checked by `least`, which needs the id. Other columns are ignored.
     """
     w = Written(docs.sparkSession)
     marked = w.put(fingerprints(docs, size, n64), "fingerprints")
     reps = w.put(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
     cut = w.put(tiles(reps.select("fp"), reps.count()), "tiles")
-    found = w.put(links(cut, radius, 1 if least is None else SPANS).distinct(), "links")
+    found = w.put(links(cut, radius).distinct(), "links")
     w.drop(cut)
     if least is not None:
-        found = w.put(alike(docs, reps, found, size, least), "alike")
+        groups = w.put(components(found).select(F.col("node").alias("fp"), "root"), "groups")
+        cut = w.put(set_tiles(docs, reps, groups, size), "tiles")
+        found = w.put(alike(cut, radius, least), "alike")
+        w.drop(cut)
     nodes = w.put(components(found).withColumnsRenamed({"node": "fp"}), "nodes")
     best = nodes.join(reps, "fp").groupBy("root").agg(F.min("doc").alias("component_id"))
     linked = nodes.join(best, "root").select("fp", "component_id")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from lintlake.llm.graph import components
-from lintlake.llm.simhash import Forest, compare, near_duplicates, order_key
+from lintlake.llm.simhash import Forest, Sets, compare, compare_sets, fingerprint, near_duplicates, order_key, shingles
 
 ODD = "doc_id long, text string, fp string, component_id string, u string"
 
@@ -73,8 +73,6 @@ def test_compare_is_exact(radius, words):
     assert roots(len(fps), compare(fps, fps, radius, True)) == want
     half = len(fps) // 2
     parts = compare(fps[:half], fps[:half], radius, True) + [(i, j + half) for i, j in compare(fps[:half], fps[half:], radius, False)]
-    many = compare(fps, fps, radius, True, 3)
-    assert roots(len(fps), many) == want and len(set(many)) == len(many) and all(bits[i, j] <= radius for i, j in many)
     parts += [(i + half, j + half) for i, j in compare(fps[half:], fps[half:], radius, True)]
     assert roots(len(fps), parts) == want
 
@@ -97,3 +95,41 @@ def test_similarity_is_checked(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(close)), (3, " ".join(far)), (4, "a b c d e f g")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 5, 64, 2, 0.8).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def family(rng, n):
+    """Edited copies of edited copies: many pairs just below and just above the similarity."""
+    texts = [[f"t{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120]))]]
+    while len(texts) < n:
+        words = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        texts.append(words)
+    return [" ".join(t) for t in texts]
+
+
+def sets_of(texts, size=5):
+    words = [t.encode().split() for t in texts]
+    grams = [{xxhash.xxh3_64_intdigest(g) >> 1 for g in shingles(w, size)} for w in words]
+    return [fingerprint(w, size, 2) for w in words], grams
+
+
+def test_no_candidate_is_left_unchecked(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [t for _ in range(12) for t in family(rng, 50)] + ["", "one two"]
+    fps, grams = sets_of(texts)
+
+    def linked(i, j):
+        near = sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[j])) <= 32
+        return fps[i] == fps[j] or near and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) > 0
+
+    want = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if linked(i, j)])
+    assert 20 < len(set(want)) < 500
+    whole = Sets(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 2), np.array([len(g) for g in grams]), np.concatenate([np.array(sorted(g), np.int64) for g in grams]))
+    assert roots(len(texts), compare_sets(whole, whole, 32, 0.8, True)) == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (4096, 24):  # all in one tile; groups over many tiles
+        monkeypatch.setattr("lintlake.llm.simhash.SET_TILE", most)
+        monkeypatch.setattr("lintlake.llm.simhash.CHECKS", most)
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 5, 32, 2, 0.8).collect()}
+        assert [got[i] for i in range(len(texts))] == want
