@@ -139,10 +139,16 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """Rows of find_secrets with the spans (overlapping ones as one) replaced in `text`; `secrets` goes."""
-    pieces = F.expr("""aggregate(secrets, named_struct('at', 0L, 'o', cast(array() as array<string>)),
-        (s, x) -> named_struct('at', greatest(s.at, x.end), 'o',
-            if(x.start >= s.at, array_append(s.o, substring(text, cast(s.at + 1 as int), cast(x.start - s.at as int))), s.o)),
-        s -> array_append(s.o, substring(text, cast(s.at + 1 as int))))""")
+    """Rows of find_secrets with the spans (overlapping ones as one) replaced in `text`; `secrets` goes.
+
+    Spans are taken in chunks, each with its own part of the text, so a text with very many secrets stays near linear.
+    """
+    chunks = f"transform(sequence(0, (size(secrets) - 1) div {CHUNK}), c -> slice(secrets, c * {CHUNK} + 1, {CHUNK}))"
+    kept = """aggregate(c, named_struct('at', s.at, 'o', cast(array() as array<string>)), (t, x) -> named_struct('at', greatest(t.at, x.end), 'o',
+        if(x.start >= t.at, array_append(t.o, substring(part, cast(t.at - s.at + 1 as int), cast(x.start - t.at as int))), t.o)))"""
+    part = "substring(text, cast(s.at + 1 as int), cast(greatest(s.at, array_max(transform(c, x -> x.end))) - s.at as int))"
+    pieces = F.expr(f"""aggregate({chunks}, named_struct('at', 0L, 'o', cast(array() as array<array<string>>)),
+        (s, c) -> transform(transform(array({part}), part -> {kept}), r -> named_struct('at', r.at, 'o', array_append(s.o, r.o)))[0],
+        s -> array_append(flatten(s.o), substring(text, cast(s.at + 1 as int))))""")
     text = F.when(F.size("secrets") > 0, F.array_join(pieces, mark)).otherwise(F.col("text"))
     return found.withColumn("text", text).drop("secrets")

@@ -56,3 +56,28 @@ def test_redaction_and_empty_tables(spark, model):
     assert {r["doc_id"]: r["text"] for r in redact(find_secrets(df, model)).collect()} == {1: "a [secret] [secret] é", 2: None, 3: "plain"}
     none = df.limit(0)
     assert digest(find_secrets(none, train(labelled_strings(none)))).count() == 0
+
+
+def test_redaction_over_chunks(spark):
+    """Texts with more spans than a chunk, overlapping ones too, against a plain loop."""
+    import random
+
+    from lintlake.llm.secrets import redact
+
+    rng = random.Random(2)
+    rows = [(0, None, []), (1, "abc", []), (2, "é" * 9, [(0, 3), (2, 9)])]
+    for i, n in enumerate((3, 512, 513, 1500), 3):
+        text = "".join(rng.choice("aé😀xyz ") for _ in range(6000))
+        rows.append((i, text, sorted((a, min(len(text), a + rng.randrange(1, 12))) for a in rng.sample(range(len(text)), n))))
+
+    def want(text, spans):
+        at, out = 0, []
+        for start, end in spans:
+            if start >= at:
+                out.append(text[at:start])
+            at = max(at, end)
+        return "[secret]".join([*out, text[at:]]) if spans else text
+
+    kind = "doc_id long, text string, secrets array<struct<start:bigint,no:int,end:bigint,kind:string,value:string>>"
+    df = spark.createDataFrame([(i, t, [(a, 0, e, "hex", "v") for a, e in spans]) for i, t, spans in rows], kind)
+    assert {r["doc_id"]: r["text"] for r in redact(df).collect()} == {i: want(t, spans) for i, t, spans in rows}
