@@ -47,11 +47,13 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return [joined[s:e] for s, e in zip(starts[:1 - size or None].tolist(), ends[size - 1:].tolist())]
 
 
-def fingerprint(words: list[bytes], size: int, n64: int) -> bytes:
+def fingerprint(words: list[bytes], size: int, n64: int, once: bool = False) -> bytes:
     """8 * n64 bytes, highest bit first: a bit is 1 if set in over half of the shingles' hashes. One 64-bit word: XXH64, seed 42;
-    two: the 128-bit XXH3 hash, seed 42. No words: zeros."""
+    two: the 128-bit XXH3 hash, seed 42. once: equal shingles count once, so a repeated line has no more say than any other. No words: zeros."""
     digest = xxhash.xxh64_digest if n64 == 1 else xxhash.xxh3_128_digest
     grams = shingles(words, size)
+    if once:
+        grams = list(set(grams))
     ones = np.zeros(64 * n64, np.int64)
     for start in range(0, len(grams), PIECE):
         raw = np.frombuffer(b"".join([digest(g, 42) for g in grams[start:start + PIECE]]), np.uint8)
@@ -65,13 +67,13 @@ def order_key(fp: bytes) -> bytes:
     return bytes([sum(counts), *counts])
 
 
-def fingerprints(docs: DataFrame, size: int, n64: int) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int, n64: int, once: bool = False) -> DataFrame:
     """doc_id and fingerprint (binary) of every document, repeated rows kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_parts(whole):
-                fps = [fingerprint(words_of(t), size, n64) for t in batch.column("text").to_pylist()]
+                fps = [fingerprint(words_of(t), size, n64, once) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     return doc_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, fp binary")
@@ -278,7 +280,7 @@ def set_tiles(docs: DataFrame, reps: DataFrame, nodes: DataFrame, size: int) ->
                 kept, sets, sizes = [], [], []
                 for n, (fp, text) in enumerate(zip(batch.column("fp").to_pylist(), batch.column("text").to_pylist())):
                     words = words_of(text)
-                    if fingerprint(words, size, len(fp) // 8) == fp:
+                    if fingerprint(words, size, len(fp) // 8, True) == fp:
                         grams = np.unique(np.array([xxhash.xxh3_64_intdigest(g) >> 1 for g in shingles(words, size)], np.int64))
                         kept.append(n)
                         sets.append(grams.tobytes())
@@ -344,11 +346,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, n64: int =
 
     Documents of one fingerprint are one node (a group of copies is aggregated before anything is compared), and links join nodes.
     least: links must also have this Jaccard similarity of shingle sets, which is checked exactly for every link that could still join
-    two components. Null texts are empty; documents without words have fingerprint zero and link like any other. Repeated rows give repeated rows. A null doc_id is no component's least unless all are
-    null, and such documents are not checked by `least`, which needs the id. Other columns are ignored.
+    two components; fingerprints are then those of the sets, equal shingles counted once. Null texts are empty; documents without words
+    have fingerprint zero and link like any other. Repeated rows give repeated rows. A null doc_id is no component's least unless all
+    are null, and such documents are not checked by `least`, which needs the id. Other columns are ignored.
     """
     w = Written(docs.sparkSession)
-    marked = w.put(fingerprints(docs, size, n64), "fingerprints")
+    marked = w.put(fingerprints(docs, size, n64, least is not None), "fingerprints")
     reps = w.put(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
     cut = w.put(tiles(reps.select("fp"), reps.count()), "tiles")
     found = w.put(links(cut, radius).distinct(), "links")

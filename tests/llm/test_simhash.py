@@ -97,6 +97,20 @@ def test_similarity_is_checked(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_a_repeated_line_makes_no_copies(spark):
+    """Texts of one line, a thousand times, and of prose of their own are not alike; texts of one set of shingles are, however often it repeats."""
+    rng = random.Random(2)
+
+    def prose():
+        return " ".join(f"t{rng.randrange(10**6)}" for _ in range(200))
+
+    texts = ["la " * 1000 + prose(), "la " * 1000 + prose(), "la " * 1000 + prose()]
+    texts += [texts[0].replace("la ", "", 900), " ".join(["one two three four five six seven eight"] * 3), " ".join(["one two three four five six seven eight"] * 90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 5, 32, 2, 0.8).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 4}
+
+
 def family(rng, n):
     """Edited copies of edited copies: many pairs just below and just above the similarity."""
     texts = [[f"t{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120]))]]
@@ -111,7 +125,7 @@ def family(rng, n):
 def sets_of(texts, size=5):
     words = [t.encode().split() for t in texts]
     grams = [{xxhash.xxh3_64_intdigest(g) >> 1 for g in shingles(w, size)} for w in words]
-    return [fingerprint(w, size, 2) for w in words], grams
+    return [fingerprint(w, size, 2, True) for w in words], grams
 
 
 def test_no_candidate_is_left_unchecked(spark, monkeypatch):
