@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over a window of tokens: the tokens at its 1s are hashed, those at its 0s are ignored, so a window
-still hits when tokens at ignored places were substituted. Hashes of all benchmark windows and of all document windows are
-joined; around each hit, on its diagonal, document and item are compared token by token, and the best run of matches (with
-substitutions) is verified.
+A seed is a fixed mask over a few tokens: the tokens at its 1s are hashed, those at its 0s are ignored, so it still hits when
+tokens at ignored places were substituted. The seeds follow from the run that is verified: the best-scoring run (a match 1, a
+substitution -2) has more than twice as many matches as substitutions in whatever it begins with, so its first SEED matches
+lie in one of a few ways, each of which is a seed, and every run is hit where it begins. Hashes of all benchmark seeds and of
+all document seeds are joined; hits that do not go on to the matches asked for are dropped, and on the diagonal of each other
+one document and item are compared token by token, and the best run is verified.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_TOKENS tokens (a proven size; more items make more passes over the
 documents, not larger broadcasts); documents are read where they lie, nothing of them is shuffled but the overlaps found.
@@ -11,6 +13,7 @@ documents, not larger broadcasts); documents are read where they lie, nothing of
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -21,12 +24,14 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import in_parts, mixed
 
-#: Seeds: windows of 12 tokens of which 8 count, ignored places spread differently.
-MASKS = ("110110110110", "111010010111", "111100001111", "101101101101")
+#: Tokens counted in a seed (fewer if fewer matches are asked for)
+SEED = 5
 BLOCK_TOKENS = 1 << 20
 LEAST_TOKENS = 8
 LEAST_SHARE = 0.75
 BITMAP = 22
+#: Hits compared at once
+HITS = 1 << 18
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -39,62 +44,135 @@ def offsets(mask: str) -> np.ndarray:
     return np.array([i for i, c in enumerate(mask) if c == "1"])
 
 
-def seed_hashes(codes: np.ndarray, mask: str, no: int) -> np.ndarray:
-    """Hash of the counted tokens of every window. A window with a counted token of code 0 (not in the benchmark) gets 0."""
-    n = len(codes) - len(mask) + 1
+def seeds_of(count: int) -> tuple[str, ...]:
+    """All ways in which the first `count` matches of a run can lie: at every place more than two matches for a substitution."""
+    out, begun = [], [""]
+    while begun:
+        mask = begun.pop()
+        ones = mask.count("1")
+        if ones == count:
+            out.append(mask)
+            continue
+        begun.append(mask + "1")
+        if ones > 2 * (len(mask) - ones + 1):
+            begun.append(mask + "0")
+    return tuple(sorted(out, key=lambda m: (len(m), m)))
+
+
+#: The seeds in windows of 12 tokens; 8 matches begin at the fifth token at the latest
+MASKS = tuple("0" * i + m + "0" * (12 - len(m) - i) for m in seeds_of(SEED) for i in range(5))
+
+
+def stirred(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def lead_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of `size` successive tokens from every place on; 0 if one of them has code 0 (not in the benchmark, or no token)."""
+    n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, whole = np.full(n, no + 1, np.uint64), np.ones(n, bool)
-    for i in offsets(mask):
-        part = codes[i:i + n]
+    out, whole = np.full(n, 1, np.uint64), np.ones(n, bool)
+    for i in range(size):
+        whole &= codes[i:i + n] != 0
+        out = stirred(out, codes[i:i + n])
+    return np.where(whole, out, np.uint64(0))
+
+
+def seed_hashes(codes: np.ndarray, at: np.ndarray, lead: np.ndarray, rest: np.ndarray, no: int) -> np.ndarray:
+    """Hash of a seed's tokens at some places, of which the lead is hashed already; 0 if a counted token has code 0."""
+    out, whole = stirred(lead, np.uint64(no + 1)), lead != 0
+    for i in rest:
+        part = codes[at + i]
         whole &= part != 0
-        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+        out = stirred(out, part)
     return np.where(whole, out, np.uint64(0))
 
 
+def bitmap_of(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << BITMAP, bool)
+    out[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)] = True
+    return out
+
+
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return bitmap[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)] & (hashes != 0)
+
+
 class Items:
-    """A block of benchmark items: vocabulary, sorted hashes of all windows of all masks, with item and place."""
+    """A block of benchmark items: vocabulary, all items' tokens in one array, sorted hashes of all seeds with their place in it."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], masks=MASKS):
-        self.masks = masks
-        self.ids = [i for i, _ in rows]
+    def __init__(self, rows: list[tuple[int, bytes]], least: int = LEAST_TOKENS):
+        self.ids, self.least = [i for i, _ in rows], least
         texts = [tokens(t) for _, t in rows]
-        self.vocabulary = {t: c for t, c in zip(sorted(set().union(*texts)) if texts else [], mixed(np.arange(1, 1 + len(set().union(*texts)), dtype=np.uint64)).tolist())}
+        words = sorted(set().union(*texts)) if texts else []
+        self.vocabulary = dict(zip(words, mixed(np.arange(1, 1 + len(words), dtype=np.uint64)).tolist()))
         self.codes = [np.array([self.vocabulary[t] for t in ts], np.uint64) for ts in texts]
-        found = []
-        self.short: dict[int, list[int]] = {}
-        for n, codes in enumerate(self.codes):
-            if len(codes) < min(map(len, masks)):
-                if len(codes):
-                    self.short.setdefault(len(codes), []).append(n)
-                continue
-            for m, mask in enumerate(masks):
-                h = seed_hashes(codes, mask, m)
-                found.append(np.stack([h, np.full(len(h), n, np.uint64), np.arange(len(h), dtype=np.uint64)], axis=1))
-        for size, items in self.short.items():
-            for n in items:
-                found.append(np.array([[seed_hashes(self.codes[n], "1" * size, 100 + size)[0], n, 0]], np.uint64))
-        table = np.concatenate(found) if found else np.zeros((0, 3), np.uint64)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        self.hashes, self.items, self.places = table[:, 0].copy(), table[:, 1].astype(np.int64), table[:, 2].astype(np.int64)
-        self.bitmap = np.zeros(1 << BITMAP, bool)
-        self.bitmap[(self.hashes >> np.uint64(64 - BITMAP)).astype(np.int64)] = True
-        self.seeds = [(mask, m) for m, mask in enumerate(masks)] + [("1" * size, 100 + size) for size in sorted(self.short)]
+        count = max(1, min(SEED, least))
+        masks = seeds_of(count)
+        lead = len(os.path.commonprefix(masks).split("0")[0])
+        # items stand apart by more than a seed, or the matches asked for, can reach
+        self.reach = max(least, 1) + (max(least, 1) - 1) // 2
+        gap = np.zeros(max(self.reach, max(map(len, masks))) + 1, np.uint64)
+        self.sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.starts = np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
+        self.all = np.concatenate([x for c in self.codes for x in (c, gap)]) if self.codes else gap
+        #: (leading tokens, bitmap of their hashes, [(places of the other tokens, number)]): all seeds, and one for each size of items below a seed's
+        self.seeds, hashes, places = [], [], []
+        for size, kinds in [(lead, [(offsets(m)[lead:], m_no) for m_no, m in enumerate(masks)])] + [(int(n), [(np.zeros(0, np.int64), 1000 + int(n))]) for n in np.unique(self.sizes[(self.sizes > 0) & (self.sizes < count)])]:
+            leads = lead_hashes(self.all, size)
+            at = np.flatnonzero(leads) if kinds[0][1] < 1000 else self.starts[self.sizes == size]
+            leads = leads[at]
+            self.seeds.append((size, bitmap_of(leads), kinds))
+            for rest, no in kinds:
+                inside = at if not len(rest) else at[at + rest[-1] < len(self.all)]
+                h = seed_hashes(self.all, inside, leads[:len(inside)], rest, no)
+                hashes.append(h[h != 0])
+                places.append(inside[h != 0].astype(np.int32))
+        self.hashes, self.places = np.concatenate(hashes), np.concatenate(places)
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.places = self.hashes[order], self.places[order]
+        self.bitmap = bitmap_of(self.hashes)
 
     def diagonals(self, codes: np.ndarray) -> np.ndarray:
-        """Distinct (item, place in the document minus place in the item) of all seed hits."""
+        """Distinct (item, place in the document minus place in the item) of all seed hits from which a run has the matches asked for."""
         out = []
-        for mask, no in self.seeds:
-            h = seed_hashes(codes, mask, no)
-            at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - BITMAP)).astype(np.int64)] & (h != 0))
-            if len(at):
-                first, last = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-                n = last - first
-                rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                out.append(np.stack([self.items[rows], np.repeat(at, n) - self.places[rows]], axis=1))
+        codes = np.concatenate([codes, np.zeros(self.reach + SEED * 2, np.uint64)])
+        for size, bitmap, kinds in self.seeds:
+            leads = lead_hashes(codes, size)
+            begin = np.flatnonzero(marked(bitmap, leads))
+            begin = begin[begin < len(codes) - self.reach - SEED * 2]
+            leads = leads[begin]
+            for rest, no in kinds if len(begin) else []:
+                h = seed_hashes(codes, begin, leads, rest, no)
+                hit = np.flatnonzero(marked(self.bitmap, h))
+                first, last = np.searchsorted(self.hashes, h[hit], "left"), np.searchsorted(self.hashes, h[hit], "right")
+                there = last > first
+                hit, first, n = begin[hit[there]], first[there], (last - first)[there]
+                # few rows at a time, however often a seed is repeated in the items and in the document
+                cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1 if len(n) else []
+                for at, low, k in zip(np.split(hit, cuts), np.split(first, cuts), np.split(n, cuts)):
+                    rows = np.repeat(low - np.cumsum(k) + k, k) + np.arange(k.sum())
+                    found = self.lasting(codes, np.repeat(at, k), self.places[rows].astype(np.int64))
+                    if len(found):
+                        out.append(np.unique(found, axis=0))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
+    def lasting(self, codes: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(item, shift) of hits that reach the matches asked for before there are half as many substitutions."""
+        item = np.searchsorted(self.starts, place, "right") - 1
+        asked = np.minimum(self.least, self.sizes[item])
+        sums, matches, open_ = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for i in range(self.reach):
+            own = self.all[place + i]
+            same = (codes[at + i] == own) & (own != 0)
+            sums += np.where(same, 1, -2)
+            open_ &= (sums > 0) | (matches >= asked)
+            matches += same & open_
+        kept = matches >= asked
+        return np.stack([item[kept], at[kept] - place[kept] + self.starts[item[kept]]], axis=1)
+
     def overlap(self, codes: np.ndarray, item: int, shift: int) -> tuple[int, int, int]:
         """First and last + 1 document token of the best-scoring run on the diagonal (a match 1, a substitution -2), and its matches."""
         own = self.codes[item]
@@ -140,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKEN
     """doc_id, item_id, matches, first_token, end_token, item_tokens: the best verified overlap of each document and item.
 
     An overlap counts if at least `least` tokens match (all, for shorter items) and they are at least `share` of its tokens.
-    Items shorter than the seeds are sought as exact runs; items without a token match nothing. Null texts are empty, ids
+    Every such best-scoring run is found, also in items shorter than the seeds; items without a token match nothing. Null texts are empty, ids
     may be null, repeated rows are found each. Other columns are ignored. Documents without an overlap give no row.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
@@ -150,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKEN
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, shared=shared):
-            block = Items(shared.value)
+            block = Items(shared.value, least)
             for whole in batches:
                 for b in in_parts(whole):
                     found = [(i, block.ids[item], m, s, e, n) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
@@ -169,7 +247,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, shar
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, shared=shared):
-            block = Items(shared.value)
+            block = Items(shared.value, least)
             for whole in batches:
                 for b in in_parts(whole):
                     texts = b.column("text").cast(pa.binary()).to_pylist()

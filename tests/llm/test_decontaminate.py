@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lintlake.llm import decontaminate
@@ -70,3 +71,32 @@ def test_substitutions_are_tolerated_and_empties_are_fine(spark):
     assert clean(df, bench.limit(0)).count() == 3
 
 
+def by_criterion(docs, items, least=8, share=0.75):
+    """The criterion alone: every diagonal, no seeds."""
+    out = set()
+    block = Items([(i, t.encode()) for i, t in items], least)
+    for d, text in docs:
+        codes = np.array([block.vocabulary.get(t, 0) for t in tokens(text.encode())], np.uint64)
+        for n, own in enumerate(block.codes):
+            runs = [block.overlap(codes, n, shift) for shift in range(-len(own) + 1, len(codes))]
+            if any(m >= min(least, len(own)) and m >= share * (end - start) for start, end, m in runs):
+                out.add((d, items[n][0]))
+    return out
+
+
+@pytest.mark.parametrize("least", [8, 5, 11])
+def test_every_overlap_that_meets_the_criterion_is_found(spark, least):
+    rng = random.Random(11)
+    items = [(n * 100 + k, " ".join(f"t{n}x{k}y{j % 40}" for j in range(n))) for n in (3, 5, 7, 8, 9, 11, 12, 15, 16, 20, 25, 60) for k in range(2)]
+    docs = []
+    for k in range(120):
+        part = rng.choice(items)[1].split()
+        for i in rng.sample(range(len(part)), min(len(part) - 1, rng.randrange(1 + len(part) // 3))):
+            part[i] = rng.choice(["zzz", "t12x0y3"])
+        docs.append((k, " ".join(["a b"] * (k % 2) + part[rng.randrange(3) * (k % 3 == 0):] + ["t9x0y0"] * (k % 5))))
+    fourth = items[-1][1].split()
+    docs += [(1000, " ".join("zzz" if i % 4 == 3 else w for i, w in enumerate(fourth))), (1001, " ".join(["zzz"] + items[12][1].split()[1:])), (1002, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string"), least).collect()}
+    assert got == by_criterion(docs, items, least)
+    assert (1000, items[-1][0]) in got and (1001, items[12][0]) in got
