@@ -6,8 +6,10 @@ successors that c(h) words drawn independently would have. All counts are of all
 Neither vocabulary nor model is broadcast; both grow with the corpus. Four passes move packed arrays, not rows of words:
 1. texts become blocks: tokens as numbers in the block's own dictionary; dictionaries are dealt by word hash;
 2. each word shard adds up the blocks' counts and answers each block with numbers and counts of its words;
-3. each block deals its (context, word) pairs by hash, so even a very frequent context is spread over all shards;
-4. each pair shard counts, builds its trie with quantised smoothed values, looks all pairs up and answers each block with sums by document.
+3. each block adds up its (context, word) pairs and deals each different one once, with its learned count, by hash: a very frequent
+   context is spread over all shards, and a very frequent pair is one entry a block; how often each document has each pair stays with the block;
+4. each pair shard counts, builds its trie with quantised smoothed values, looks all pairs up and answers each block with a value per pair,
+   which the block sums by document.
 """
 
 from __future__ import annotations
@@ -128,7 +130,8 @@ def expected_kinds(histogram: dict[int, int], total: int) -> tuple[np.ndarray, n
 
 
 def dealt_pairs(blocks: DataFrame, totals: tuple[int, int], kinds: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
-    """Pass 3, by block. kind 0: what is known of its documents without the pairs; kind 1: its pairs for one shard, sorted."""
+    """Pass 3, by block. kind 0: what is known of its documents without the pairs; and how often each has each
+    pair (by the pair's place among the block's); kind 1: its different pairs for one shard, sorted, with their learned counts."""
     total, vocabulary = totals
 
     def run(batches):
@@ -152,23 +155,33 @@ def dealt_pairs(blocks: DataFrame, totals: tuple[int, int], kinds: tuple[np.ndar
             unseen = (numbers == 0) | (context == 0)
             local = np.bincount(doc, local + np.where(unseen, value_of(smooth), 0), len(sizes))
             known = np.bincount(doc, counts > 0, len(sizes)).astype(np.int64)
-            yield row(-1 - name % shards, name, 0, 0, squeezed(ids=main["ids"], null=main["null"], held=main["held"], sizes=sizes, known=known, base=base, local=local))
             rest = np.flatnonzero(~unseen)
-            h, w, d, g = context[rest], numbers[rest], doc[rest].astype(np.uint32) * np.uint32(2) + main["held"][doc[rest]].astype(np.uint32), smooth[rest]
+            h, w = context[rest], numbers[rest]
             shard = mixed(mixed(h) + w) % np.uint64(shards)
             order = np.lexsort((w, h, shard))
-            h, w, d, g, shard = h[order], w[order], d[order], g[order], shard[order]
+            h, w, shard, rest = h[order], w[order], shard[order], rest[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+            pair = np.cumsum(new) - 1
+            learned = np.bincount(pair, ~main["held"][doc[rest]], int(new.sum())).astype(np.uint32)
+            held_by, times = np.unique(doc[rest] << 32 | pair, return_counts=True)
+            own = np.bincount(held_by >> 32, minlength=len(sizes)).astype(np.int64)
+            # differences of places wrap around where a document begins, and back when they are added up
+            place = np.diff(held_by.astype(np.uint32), prepend=np.uint32(0))
+            yield row(-1 - name % shards, name, 0, 0, squeezed(ids=main["ids"], null=main["null"], held=main["held"], sizes=sizes, known=known, base=base, local=local,
+                                                              own=own, place=place, times=times.astype(np.uint32)))
+            h, w, g, shard = h[new], w[new], smooth[rest[new]], shard[new]
             cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
             for s in range(shards):
                 x = slice(cuts[s], cuts[s + 1])
                 if cuts[s] < cuts[s + 1]:
-                    yield row(s, name, 1, 0, squeezed(h=np.diff(h[x], prepend=np.uint64(0)), w=w[x], d=d[x], g=g[x]))
+                    yield row(s, name, 1, 0, squeezed(h=np.diff(h[x], prepend=np.uint64(0)), w=w[x], n=learned[x], g=g[x]))
 
     return blocks.repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(run, ROW)
 
 
 def looked_up(pairs: DataFrame, shards: int) -> DataFrame:
-    """Pass 4, by pair shard: counts, trie, sums by block and document. Rows of kind 0 pass through."""
+    """Pass 4, by pair shard: counts, trie, a value for each pair of each block, in the block's order. Rows of kind 0 pass through."""
 
     def run(batches):
         for shard, rows in groups(batches, "shard"):
@@ -178,27 +191,22 @@ def looked_up(pairs: DataFrame, shards: int) -> DataFrame:
                 continue
             own = [unsqueezed(r["payload"]) for r in rows]
             h, w, g = np.concatenate([np.cumsum(o["h"]) for o in own]), np.concatenate([o["w"] for o in own]), np.concatenate([o["g"] for o in own])
-            d = [o["d"] for o in own]
+            n, ends = np.concatenate([o["n"] for o in own]), np.cumsum([len(o["n"]) for o in own])
             del own
             contexts, h = np.unique(h, return_inverse=True)
             words, w = np.unique(w, return_inverse=True)
             pairs_, first, inverse = np.unique(h * len(words) + w, return_index=True, return_inverse=True)
-            learned = np.bincount(inverse, (np.concatenate(d) & np.uint32(1)) == 0, len(pairs_))
+            learned = np.bincount(inverse, n, len(pairs_))
             smooth = g[first]
-            del h, w, g
+            del h, w, g, n
             seen = np.flatnonzero(learned > 0)
             value = quantise(np.log10(learned[seen] + 10 ** value_of(smooth[seen])))
             trie = Trie(pairs_[seen] // len(words), pairs_[seen] % len(words), value)
             codes, found = trie.find(pairs_ // len(words), pairs_ % len(words))
-            logs = value_of(np.where(found, codes, smooth))[inverse]
+            codes = np.where(found, codes, smooth)[inverse]
             trie.close()
-            at = 0
-            for r, docs in zip(rows, d):
-                local = docs >> np.uint32(1)
-                sums = np.bincount(local, logs[at:at + len(local)])
-                at += len(local)
-                which = np.unique(local)
-                yield row(shard, r["block"], 1, 0, squeezed(doc=which, sums=sums[which].astype(np.float32)))
+            for r, part in zip(rows, np.split(codes, ends[:-1])):
+                yield row(shard, r["block"], 1, 0, squeezed(codes=part))
 
     return pairs.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, ROW)
 
@@ -210,9 +218,10 @@ def finished(sums: DataFrame, total: int) -> DataFrame:
         for _, rows in groups(batches, "block"):
             main = unsqueezed(rows[0]["payload"])
             score = main["local"].copy()
-            for r in rows[1:]:
-                part = unsqueezed(r["payload"])
-                score[part["doc"]] += part["sums"]
+            if len(rows) > 1:
+                logs = value_of(np.concatenate([unsqueezed(r["payload"])["codes"] for r in rows[1:]]))
+                doc = np.repeat(np.arange(len(score)), main["own"])
+                score += np.bincount(doc, logs[np.cumsum(main["place"], dtype=np.uint32)] * main["times"], len(score))
             ids = pa.array(main["ids"], mask=main["null"])
             n = len(score)
             yield pa.RecordBatch.from_arrays([ids, pa.array(main["held"]), pa.array(main["sizes"]), pa.array(main["known"]), pa.array(np.full(n, total, np.int64)),

@@ -96,3 +96,22 @@ def test_probabilities_sum_to_one_and_model_beats_base(spark):
 
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_hot_pair_is_one_entry_a_block(spark, monkeypatch):
+    seen = []
+
+    def watched(pairs, shards, real=lm.looked_up):
+        seen.extend(lm.unsqueezed(r["payload"]) for r in pairs.where("kind = 1").collect())
+        return real(pairs, shards)
+
+    monkeypatch.setattr(lm, "looked_up", watched)
+    rows = [(i, "a b " * 500 + f"only{i} a a") for i in range(60)] + [(100, "b a"), (101, None)]
+    got = sorted((tuple(r) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    for part in seen:
+        assert len(set(zip(np.cumsum(part["h"]).tolist(), part["w"].tolist()))) == len(part["w"])
+    assert sum(len(p["w"]) for p in seen) < 1000
+    for g, x in zip(got, sorted(brute(rows), key=str), strict=True):
+        assert g[:5] == x[:5] and abs(g[6] - x[6]) <= 1e-3 * x[2]
+    nothing = [(i, "a b") for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0]
+    assert lm.score(spark.createDataFrame(nothing, "doc_id long, text string")).where("score = score").count() == len(nothing)
