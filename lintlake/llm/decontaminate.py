@@ -242,7 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKEN
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, share: float = LEAST_SHARE) -> DataFrame:
-    """Rows of docs whose text has no such overlap, with all their columns; decided row by row, where the rows lie."""
+    """Rows of docs whose text has no such overlap of at least `least` matches, with all their columns; decided row by row, where
+    the rows lie. Items of fewer tokens take no document away (a word like 'yes' is no passage); contaminated() reports them."""
     for rows in blocks_of(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
@@ -251,7 +252,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, shar
             for whole in batches:
                 for b in in_parts(whole):
                     texts = b.column("text").cast(pa.binary()).to_pylist()
-                    yield b.filter(pa.array([not overlaps_in(t or b"", block, least, share) for t in texts], pa.bool_()))
+                    yield b.filter(pa.array([all(m < least for m, *_ in overlaps_in(t or b"", block, least, share).values()) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

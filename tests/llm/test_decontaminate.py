@@ -100,3 +100,10 @@ def test_every_overlap_that_meets_the_criterion_is_found(spark, least):
     got = {(r["doc_id"], r["item_id"]) for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string"), least).collect()}
     assert got == by_criterion(docs, items, least)
     assert (1000, items[-1][0]) in got and (1001, items[12][0]) in got
+
+
+def test_short_items_are_reported_but_take_no_document_away(spark):
+    docs = spark.createDataFrame([(1, "yes we can"), (2, "no 42"), (3, "a b c d e f g h i")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Yes."), (2, "42"), (3, "a b c d e f g"), (4, "b c d e f g h i")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3), (3, 4)}
+    assert sorted(r["doc_id"] for r in clean(docs, bench).collect()) == [1, 2]
