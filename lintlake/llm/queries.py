@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import decontaminate, lm, mixing, quality, secrets, simhash, substrings, topk, toxicity, urls
+from lintlake.llm import covertree, decontaminate, lm, mixing, quality, secrets, simhash, substrings, topk, toxicity, urls
 from lintlake.llm.common import table
 from lintlake.llm.learning import labelled
 
@@ -54,5 +54,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_urls, op4_lm, op5_toxicity, op6_mixing, op7_topk, op8_quality, op9_secrets, op10_simhash)}
+def op11_neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_urls, op4_lm, op5_toxicity, op6_mixing, op7_topk, op8_quality, op9_secrets, op10_simhash,
+                                   op11_neardup_vectors)}
 ORACLE = {"op3_urls": urls.judge_sql(), "op7_topk": topk.top_k_sql()}
