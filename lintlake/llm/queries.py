@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintlake.llm import covertree, decontaminate, lm, mixing, quality, secrets, simhash, substrings, topk, toxicity, urls
+from lintlake.llm import covertree, decontaminate, lm, mixing, negatives, quality, secrets, simhash, substrings, topk, toxicity, turntree, urls
 from lintlake.llm.common import table
 from lintlake.llm.learning import labelled
 
@@ -58,6 +59,15 @@ def op11_neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntree.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.expr(negatives.ANCHOR), F.expr(negatives.LABEL))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_urls, op4_lm, op5_toxicity, op6_mixing, op7_topk, op8_quality, op9_secrets, op10_simhash,
-                                   op11_neardup_vectors)}
-ORACLE = {"op3_urls": urls.judge_sql(), "op7_topk": topk.top_k_sql()}
+                                   op11_neardup_vectors, op12_conversations, op13_hard_negatives)}
+ORACLE = {"op3_urls": urls.judge_sql(), "op7_topk": topk.top_k_sql(), "op11_neardup_vectors": covertree.near_vectors_sql(), "op12_conversations": turntree.rebuilt_trie_sql(),
+          "op13_hard_negatives": negatives.hard_negatives_sql()}
