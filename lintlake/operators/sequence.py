@@ -138,19 +138,22 @@ def _count(text: Column, ch: str) -> Column:
 CHUNK = 256
 
 
-def nested_loop_hits() -> Column:
-    """A running depth over the lines that open a loop or close more braces than they open; it never
-    falls below zero. Files with fewer than three loops cannot reach depth three."""
-    moves = F.filter(F.transform("lines", lambda x, i: F.struct(
-        (i + 1).alias("line_no"), F.when(x.rlike(LOOP), 1).otherwise(0).alias("inc"),
+def loop_moves(lines: Column, first: Column) -> Column:
+    """The lines that open a loop (inc) or close more braces than they open (dec); first: the number of the first line."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(
+        (i + first).alias("line_no"), F.when(x.rlike(LOOP), 1).otherwise(0).alias("inc"),
         F.greatest(F.lit(0), _count(x, "}") - _count(x, "{")).alias("dec"), x.alias("text"))),
         lambda m: (m["inc"] > 0) | (m["dec"] > 0))
+
+
+def loop_walk(moves: Column, depth: Column) -> Column:
+    """depth, outer and hits (a list of lists) after a running depth over the moves that never falls below zero."""
     state = f"struct<depth:int,outer:int,hits:array<{FIND}>>"
     whole = f"struct<depth:int,outer:int,hits:array<array<{FIND}>>>"
     # an array that grows by one is copied: hits grow inside chunks, chunks in a list of their own
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(moves) - 1) / CHUNK).cast("int")), lambda c: F.slice(moves, c * CHUNK + 1, CHUNK))
     chunks = F.when(F.size(moves) > 0, chunks).otherwise(F.slice(F.array(moves), 1, 0))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("outer"), F.array().alias("hits")).cast(whole)
+    zero = F.struct(depth.alias("depth"), F.lit(None).cast("int").alias("outer"), F.array().alias("hits")).cast(whole)
 
     def step(acc: Column, m: Column) -> Column:
         at = acc["depth"] + m["inc"]
@@ -164,7 +167,12 @@ def nested_loop_hits() -> Column:
         return F.aggregate(chunk, start, step, lambda end: F.struct(
             end["depth"].alias("depth"), end["outer"].alias("outer"), F.array_append(acc["hits"], end["hits"]).alias("hits")).cast(whole))
 
-    return F.when(F.regexp_count("content", F.lit(LOOP)) >= 3, F.aggregate(chunks, zero, walk, lambda acc: F.flatten(acc["hits"])))
+    return F.aggregate(chunks, zero, walk)
+
+
+def nested_loop_hits() -> Column:
+    """Loops at depth three or more. Files with fewer than three loops cannot reach that depth."""
+    return F.when(F.regexp_count("content", F.lit(LOOP)) >= 3, F.flatten(loop_walk(loop_moves(F.col("lines"), F.lit(1)), F.lit(0))["hits"]))
 
 
 def win_nested_loops(files: DataFrame) -> DataFrame:

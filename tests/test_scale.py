@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lintlake import ReviewConfig, review_files
-from lintlake.operators import blocks, changes, files as fo, sequence
+from lintlake.operators import blocks, changes, duplicates, files as fo, sequence
 
 BAD = "eval(x);\nvar y = 1;\nif (a == b) {\n}\n"
 
@@ -46,6 +46,17 @@ def test_nested_loops_are_linear(files_of):
     assert run(3_000) == 3_000
 
 
+def test_repeated_blocks_are_linear(files_of):
+    def run(n):
+        text = "\n".join(f"  const value = compute(alpha, {'+ ' * (i % 7)}beta);" for i in range(n))
+        files = fo.reviewable(files_of({"a.js": text})).withColumn("frameworks", F.array().cast("array<string>"))
+        return duplicates.duplicate_blocks(files, ReviewConfig()).count()
+
+    assert run(100) == 89
+    short, long = seconds(lambda: run(20_000)), seconds(lambda: run(100_000))
+    assert long < 6 * short + 5
+
+
 def test_change_sets_use_the_frameworks_of_the_corpus(files_of):
     files = files_of({"src/a.js": BAD + "useEffect(() => {});\nconsole.log(1);\n", "src/b.js": "import React from 'react';\n", "lib/c.js": BAD})
     for config in (ReviewConfig(), ReviewConfig(framework_scope="file")):
