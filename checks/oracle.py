@@ -15,7 +15,7 @@ from lintlake.config import ReviewConfig, user_rules
 from lintlake.functions.regex import escape_literal
 from lintlake.functions.text import WHITE_SPACE
 from lintlake.sinks.reports import FOOTER  # noqa: F401
-from lintlake.sources.derived import BLOCKS, DIRS, EXTS, ROOT
+from lintlake.sources.derived import BLOCKS, DIRS, EXTS, LONG, ROOT
 
 
 def compiles(pattern: str) -> bool:
@@ -64,11 +64,16 @@ def lang_in(langs) -> str:
 
 # corpora ---------------------------------------------------------------------------------------------------
 
+BODY = f"""array_to_string(list_transform(range(0, o_orderkey % 5 + 1), lambda k: replace(
+           ({arr(BLOCKS)})[(o_orderkey + k * (o_orderkey % 7)) % {len(BLOCKS)} + 1], '@', (o_orderkey * 10 + k)::VARCHAR)), {LF})"""
 CODE = f"""code AS (
   SELECT '{ROOT}/' || ({arr(DIRS)})[(o_custkey // {len(EXTS)}) % {len(DIRS)} + 1] || '/f' || o_orderkey || '.' || ({arr(EXTS)})[o_custkey % {len(EXTS)} + 1] AS path,
-         array_to_string(list_transform(range(0, o_orderkey % 5 + 1), lambda k: replace(
-           ({arr(BLOCKS)})[(o_orderkey + k * (o_orderkey % 7)) % {len(BLOCKS)} + 1], '@', (o_orderkey * 10 + k)::VARCHAR)), {LF}) AS content
+         {BODY} AS content
   FROM orders)"""
+LONG_FILES = f"""long_code AS (
+  SELECT '{ROOT}/long/g' || (o_orderkey // {LONG}) || '.' || ({arr(EXTS)})[(o_orderkey // {LONG}) % {len(EXTS)} + 1] AS path,
+         string_agg({BODY}, {LF} ORDER BY o_orderkey) AS content
+  FROM orders GROUP BY o_orderkey // {LONG})"""
 TEXT = """text_files AS (
   SELECT 'docs/' || source || '/d' || doc_id || '.html' AS path, text AS content FROM documents
   UNION ALL SELECT 'pages/p' || page_id || '.html', html FROM pages)"""
@@ -624,6 +629,7 @@ def build() -> dict[str, str]:
         "apply_fixes": sql([*KEPT, FIXED], f"""SELECT path, coalesce(string_agg(new_text, {LF} ORDER BY line_no) FILTER (new_text IS NOT NULL), '') AS content FROM edited GROUP BY path"""),
         "fix_hint": sql(KEPT, "SELECT DISTINCT path, line_no, rule_id, 'Fix: ' || substring(suggested_fix, 1, 80) AS hint FROM kept"),
         "review_full": sql(review(strict), NO_TEXT + "reviewed"),
+        "review_long": sql([LONG_FILES, *review(strict, source="long_code")], NO_TEXT + "reviewed"),
         "review_changed": sql(review(strict, CHANGED, ignores=False), NO_TEXT + "reviewed"),
         "review_staged": sql(review(Q.strict(severity_threshold="Medium"), CHANGED, ignores=False), NO_TEXT + "reviewed"),
         "review_path_prefix": sql(review(strict, f"starts_with(path, '{ROOT}/src/')", in_file=True), NO_TEXT + "reviewed"),

@@ -11,10 +11,10 @@ from lintlake.catalog import dims
 from lintlake.config import ReviewConfig
 from lintlake.functions.text import hash32, trim_all
 from lintlake.operators import blocks, changes, duplicates, files as fo, filters, findings as fi, fixes, scan, sequence, summary, tokens
-from lintlake.plans.review import review_files
+from lintlake.plans.review import review_files, review_long_files
 from lintlake.sinks import reports
 from lintlake.sources import corpus
-from lintlake.sources.derived import ROOT, code_files, text_files
+from lintlake.sources.derived import ROOT, code_files, long_files, text_files
 from lintlake.sources.local import run_folder, small_table
 from lintlake.streaming.continuous import continuous_review
 
@@ -526,6 +526,12 @@ def review_full(spark, sf):
     return reviewed(review_files(code_files(spark, sf), strict()))
 
 
+@query
+def review_long(spark, sf):
+    """Long files in pieces of 64 lines: the findings of the whole files."""
+    return reviewed(review_long_files(long_files(spark, sf), strict(), lines=64))
+
+
 @query
 def review_changed(spark, sf):
     return reviewed(changes.review_changed(code_files(spark, sf), _changed(spark, sf), strict()))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lintlake.sources.local import spread
 
 ROOT = "/corpus"
+LONG = 32
 DIRS = ["src", "lib/core", "node_modules/m", "app", "pkg/vendor", "test", "src/ui", "build/out", "app/api", "tools", "lib", "src/db"]
 EXTS = ["js", "ts", "py", "js", "ts", "go", "js", "ts", "py", "java", "rs", "sql", "sh", "rb", "c", "cs", "php", "kt", "py", "txt"]
 
@@ -65,17 +66,31 @@ BLOCKS = [
 ]
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, o_custkey, content."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     orders = spread(orders)
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    key = F.col("o_orderkey")
     blocks = F.array(*[F.lit(b) for b in BLOCKS])
     picked = F.transform(F.sequence(F.lit(0), (key % 5).cast("int")), lambda k: F.replace(
         F.get(blocks, ((key + k * (key % 7)) % len(BLOCKS)).cast("int")), F.lit("@"), (key * 10 + k).cast("string")))
+    return orders.select("o_orderkey", "o_custkey", F.array_join(picked, "\n").alias("content"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
     folder = F.get(F.array(*[F.lit(d) for d in DIRS]), (F.floor(cust / len(EXTS)) % len(DIRS)).cast("int"))
     ext = F.get(F.array(*[F.lit(e) for e in EXTS]), (cust % len(EXTS)).cast("int"))
-    return orders.select(F.concat(F.lit(f"{ROOT}/"), folder, F.lit("/f"), key.cast("string"), F.lit("."), ext).alias("path"),
-                         F.array_join(picked, "\n").alias("content"))
+    return _code(spark, sf_dir).select(F.concat(F.lit(f"{ROOT}/"), folder, F.lit("/f"), key.cast("string"), F.lit("."), ext).alias("path"), "content")
+
+
+def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same code, the files of LONG keys in a row joined to one of several hundred lines."""
+    joined = _code(spark, sf_dir).groupBy(F.floor(F.col("o_orderkey") / LONG).cast("long").alias("g")).agg(
+        F.sort_array(F.collect_list(F.struct("o_orderkey", "content"))).alias("parts"))
+    ext = F.get(F.array(*[F.lit(e) for e in EXTS]), (F.col("g") % len(EXTS)).cast("int"))
+    return joined.select(F.concat(F.lit(f"{ROOT}/long/g"), F.col("g").cast("string"), F.lit("."), ext).alias("path"),
+        F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("content"))
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:

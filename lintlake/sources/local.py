@@ -32,3 +32,10 @@ def spread(rows: DataFrame) -> DataFrame:
     (a table of many splits is left as it is)."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read again: computed once, and no lost executor takes them along."""
+    folder = run_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
