@@ -27,7 +27,7 @@ def ready(spark: SparkSession) -> DataFrame:
 
 def catalog_scan(spark):
     lines = explode_lines(ready(spark).unionByName(reviewable(text_files(spark, SF_DIR))))
-    return fi.union_findings([scan.scan_security(lines), scan.scan_performance(lines), scan.scan_runtime(lines)])
+    return scan.scan_catalog(lines)
 
 
 def sequence_rules(spark):

@@ -564,6 +564,7 @@ def build() -> dict[str, str]:
         "lang_gate": sql([CODE, LANGS, ready("code"), "gates(uid, langs) AS (VALUES " + ", ".join(
             f"({s(r.uid)}, {arr(r.langs) if r.langs else 'NULL'})" for r in R.SECURITY_RULES + R.RUNTIME_RULES) + ")"],
             "SELECT uid, lang_id, count(*) AS n FROM ready JOIN gates ON langs IS NULL OR list_contains(langs, lang_id) GROUP BY ALL"),
+        "scan_catalog": shown(BOTH_LINES, scan([*R.SECURITY_RULES, *R.PERFORMANCE_RULES, *R.RUNTIME_RULES], "found")),
         "scan_security": shown(BOTH_LINES, scan(R.SECURITY_RULES, "found")),
         "scan_performance": shown(BOTH_LINES, scan(R.PERFORMANCE_RULES, "found")),
         "scan_runtime": shown(BOTH_LINES, scan(R.RUNTIME_RULES, "found")),

@@ -184,6 +184,12 @@ def lang_gate(spark, sf):
 
 # scans ---------------------------------------------------------------------------------------------------
 
+@query
+def scan_catalog(spark, sf):
+    """The three catalogs in one pass."""
+    return shown(scan.scan_catalog(both_lines(spark, sf)))
+
+
 @query
 def scan_security(spark, sf):
     return shown(scan.scan_security(both_lines(spark, sf)))

@@ -3,6 +3,9 @@
 The patterns are literals, so each is compiled once and the whole scan is one
 projection over the exploded lines: no join and no shuffle. Cheap tests stand in front
 of each regex: language, comment flag, a literal the match cannot do without.
+
+Literals of several characters are not looked for one by one: a single expression, a tree of all of them, goes over
+the line once, and what it finds names the rules that are tried. The cost of a line then hardly grows with the number of rules.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lintlake.catalog import rules as R
 from lintlake.config import ReviewConfig
+from lintlake.functions.literals import SHORTEST, beginnings, required_literals, word_tree
 from lintlake.functions.regex import escape_literal, java_regex
 from lintlake.functions.sqltext import contains_sql, quoted, quoted_list, rlike_sql
 from lintlake.operators.files import comment_flags
@@ -48,10 +52,64 @@ def hit(condition: str, uid: str, ord: str | int, args: tuple[str, ...] = (), po
             f"'pos', CAST({pos} AS INT), 'ord', CAST({ord} AS INT)) END")
 
 
+#: So many words are found sooner by one expression than one by one
+MANY_WORDS = 40
+
+
+class Chosen(str):
+    """SQL for a finding that is tried only where the line holds one of ``words`` (lower-case, whatever the line's case)."""
+
+    words: tuple[str, ...] = ()
+
+
+def words_of(rule: R.Rule) -> tuple[str, ...] | None:
+    """Words of which every line that the rule matches holds one."""
+    known = tuple(w.lower() for w in (*rule.needs, *rule.needs_lower) if w.isascii()) if not (rule.needs and rule.needs_lower) else ()
+    if known and min(map(len, known)) >= SHORTEST:
+        return known
+    return required_literals(rule.pattern)
+
+
+def chosen(condition_hit: str, words: tuple[str, ...] | None) -> str:
+    if not words:
+        return condition_hit
+    out = Chosen(condition_hit)
+    out.words = words
+    return out
+
+
+def hits_sql(hits: list[str]) -> str:
+    """SQL for the array of findings on a line."""
+    many = len({w for h in hits if isinstance(h, Chosen) for w in h.words}) >= MANY_WORDS
+    tried = [h for h in hits if many and isinstance(h, Chosen)]
+    plain = [h for h in hits if not (many and isinstance(h, Chosen))]
+    arrays = [f"array_compact(array({', '.join(plain)}))"] if plain else []
+    if tried:
+        rules: dict[str, list[int]] = {}
+        for n, h in enumerate(tried):
+            for word in h.words:
+                rules.setdefault(word, []).append(n)
+        # a longer word found at a place stands for those it begins with
+        of_word = {w: sorted({n for b in beginnings(w, set(rules)) for n in rules[b]}) for w in rules}
+        table = "map_from_arrays(array({}), array({}))".format(quoted_list(of_word), ", ".join(f"array({', '.join(map(str, ns))})" for ns in of_word.values()))
+        found = f"regexp_extract_all(lowered, {quoted(f'(?=({word_tree(rules)}))')}, 1)"
+        names = f"array_distinct(flatten(transform({found}, w -> element_at({table}, w))))"
+        arrays.append(f"array_compact(transform({names}, n -> {_one_of(tried, 0)}))")
+    return f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
+
+
+def _one_of(hits: list[str], first: int) -> str:
+    """The hit of number n, found by halving."""
+    if len(hits) == 1:
+        return hits[0]
+    half = len(hits) // 2
+    return f"CASE WHEN n < {first + half} THEN {_one_of(hits[:half], first)} ELSE {_one_of(hits[half:], first + half)} END"
+
+
 def findings_with(rows: DataFrame, hits: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Slim findings of ``hits`` on each line. A row may carry ``found`` instead: findings of its whole file."""
-    own = (f"transform(array_compact(array({', '.join(hits)})), h -> named_struct('line_no', line_no, 'end_line', CAST(NULL AS INT), "
-           "'uid', h.uid, 'args', h.args, 'pos', h.pos, 'ord', h.ord, 'text', text))")
+    own = (f"transform({hits_sql(hits)}, h -> named_struct('line_no', line_no, 'end_line', CAST(NULL AS INT), "
+           "'uid', h.uid, 'args', h.args, 'pos', h.pos, 'ord', h.ord, 'text', text))") if hits else ""
     column = f"coalesce(found, {own})" if hits else "found"
     return from_arrays(comment_flags(rows), F.expr(column), carry)
 
@@ -61,7 +119,7 @@ def findings_of(lines: DataFrame, hits: list[str]) -> DataFrame:
 
 
 def catalog_hits(rules: list[R.Rule], exact_edges: bool = False) -> list[str]:
-    return [hit(matches(r, exact_edges), r.uid, n) for n, r in enumerate(rules) if r.langs is None or r.langs]
+    return [chosen(hit(matches(r, exact_edges), r.uid, n), words_of(r)) for n, r in enumerate(rules) if r.langs is None or r.langs]
 
 
 def scan_rules(lines: DataFrame, rules: list[R.Rule], exact_edges: bool = False) -> DataFrame:
@@ -69,6 +127,11 @@ def scan_rules(lines: DataFrame, rules: list[R.Rule], exact_edges: bool = False)
     return findings_of(lines, catalog_hits(rules, exact_edges))
 
 
+def scan_catalog(lines: DataFrame, config: ReviewConfig | None = None) -> DataFrame:
+    """The three catalogs in one pass over the lines."""
+    return findings_of(lines, [h for rules in (R.SECURITY_RULES, R.PERFORMANCE_RULES, R.RUNTIME_RULES) for h in catalog_hits(passing(rules, config))])
+
+
 def scan_security(lines: DataFrame, config: ReviewConfig | None = None) -> DataFrame:
     return scan_rules(lines, passing(R.SECURITY_RULES, config))
 
