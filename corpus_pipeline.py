@@ -23,16 +23,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays, once; documents without an id stay."""
-    w = Written(spark)
-    found = w.put(simhash.near_duplicates(docs, SHINGLE, RADIUS, WORDS64, SIMILARITY), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    twice = w.put(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not twice.limit(1).count():
-        return kept
-    again = kept["doc_id"].cast("long") == twice["doc_id"]
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near-duplicates one document stays, the one of the least id; documents without an id stay."""
+    return simhash.one_of_each(docs, SHINGLE, RADIUS, WORDS64, SIMILARITY)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

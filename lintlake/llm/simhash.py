@@ -341,8 +341,9 @@ def alike(cut: DataFrame, radius: int, least: float) -> DataFrame:
     return left.join(right, ["a", "b"]).mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, n64: int = 1, least: float | None = None) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: the least doc_id reachable over links of at most `radius` differing bits.
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, n64: int = 1, least: float | None = None, rooted: bool = False) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id: the least doc_id reachable over links of at most `radius` differing bits. rooted: with
+    the fingerprint that stands for the component (root), which tells components apart where unlike texts share an id.
 
     Documents of one fingerprint are one node (a group of copies is aggregated before anything is compared), and links join nodes.
     least: links must also have this Jaccard similarity of shingle sets, which is checked exactly for every link that could still join
@@ -363,6 +364,49 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, n64: int =
         w.drop(cut)
     nodes = w.put(components(found).withColumnsRenamed({"node": "fp"}), "nodes")
     best = nodes.join(reps, "fp").groupBy("root").agg(F.min("doc").alias("component_id"))
-    linked = nodes.join(best, "root").select("fp", "component_id")
-    ids = w.put(reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id")), "ids")
-    return marked.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    linked = nodes.join(best, "root").select("fp", "component_id", "root")
+    ids = w.put(reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id"), *([F.coalesce("root", "fp").alias("root")] if rooted else [])), "ids")
+    return marked.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", *(["root"] if rooted else []))
+
+
+def with_fingerprint(docs: DataFrame, size: int, n64: int, once: bool) -> DataFrame:
+    """All columns and the fingerprint (hex, column `_fp`) of each row's own text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in in_parts(whole):
+                fps = [fingerprint(words_of(t), size, n64, once).hex() for t in batch.column("_bytes").to_pylist()]
+                yield batch.drop_columns(["_bytes"]).append_column("_fp", pa.array(fps, pa.string()))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.withColumn("_bytes", F.coalesce(F.col("text"), F.lit("")).cast("binary")).mapInArrow(run, f"{kind}, _fp string")
+
+
+def one_of_each(docs: DataFrame, size: int, radius: int, n64: int = 1, least: float | None = None) -> DataFrame:
+    """The rows of docs that stay when one document of each group of near-duplicates does: the one of the least doc_id, at equal ids of the least fingerprint.
+
+    Decided by row, that is by id and text: of unlike texts under one id each stays or goes with its own group. Rows equal in id and
+    fingerprint are one document; the least of them (all columns, as JSON) stays, so reruns agree. Rows without an id stay, all of
+    them. Null texts are empty. All columns are kept; none may be called _fp, _bytes or _json. An empty table stays empty.
+    """
+    w = Written(docs.sparkSession)
+    found = w.put(near_duplicates(docs, size, radius, n64, least, rooted=True).where("doc_id IS NOT NULL"), "components")
+    kinds = found.groupBy("doc_id", "fingerprint").agg(F.first("root").alias("root"), F.count("*").alias("rows"))
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "fingerprint")).alias("best"))
+    stays = (F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.fingerprint") == F.col("fingerprint"))
+    judged = w.put(kinds.join(best, "root").select("doc_id", "fingerprint", "rows", stays.alias("stays")), "judged")
+    ids = judged.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.sum("rows").alias("rows"))
+    # most ids have one row, or go as a whole: they need no look at their texts
+    apart = w.put(ids.where("NOT some OR rows > 1").select(F.col("doc_id").alias("_id"), "some"), "apart")
+    same_id = docs["doc_id"].cast("long") == apart["_id"]
+    easy = docs.join(apart, same_id, "left_anti")
+    hard = docs.join(apart.where("some"), same_id, "left_semi")
+    if not apart.where("some").limit(1).count():
+        return easy
+    wanted = judged.where("stays").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_kept"))
+    rows = with_fingerprint(hard, size, n64, least is not None)
+    rows = rows.join(wanted, (rows["doc_id"].cast("long") == wanted["_id"]) & (rows["_fp"] == wanted["_kept"]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = rows.withColumn("_json", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    first = rows.groupBy("_id", "_fp").agg(F.min_by(F.struct(*columns), "_json").alias("row"))
+    return easy.unionByName(first.select("row.*"))

@@ -147,3 +147,56 @@ def test_no_candidate_is_left_unchecked(spark, monkeypatch):
         monkeypatch.setattr("lintlake.llm.simhash.CHECKS", most)
         got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 5, 32, 2, 0.8).collect()}
         assert [got[i] for i in range(len(texts))] == want
+
+
+def stays(rows):
+    """One row of each group: groups by Jaccard similarity of sets of five-word runs, ids and fingerprints ascending."""
+    from lintlake.llm.simhash import fingerprint, shingles, words_of
+
+    named = sorted({(i, fingerprint(words_of((t or "").encode()), 5, 2, True).hex(), t) for i, t, _ in rows if i is not None}, key=str)
+    sets = [set(shingles(words_of((t or "").encode()), 5)) for _, _, t in named]
+    parent = list(range(len(named)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(named)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if named[a][1] == named[b][1] or both and both >= 0.8 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    best = {}
+    for n, (i, fp, _) in enumerate(named):
+        best[root(n)] = min(best.get(root(n), (i, fp)), (i, fp))
+    kept = set(best.values())
+    out = {}
+    for i, t, lang in rows:
+        key = (i, fingerprint(words_of((t or "").encode()), 5, 2, True).hex())
+        if i is not None and key in kept:
+            out.setdefault(key, []).append((i, t, lang))
+    return out, sorted(((t, lang) for i, t, lang in rows if i is None), key=str)
+
+
+def test_one_of_each_is_decided_by_row(spark):
+    import random
+
+    from lintlake.llm.simhash import one_of_each
+
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randint(0, 400)}" for _ in range(80)) for _ in range(14)]
+    a, b, c, d = texts[:4]
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (9, c, "x"), (9, d, "x")]
+    rows += [(rnd.randint(20, 60), t + rnd.choice(["", "", " tail", "  "]), rnd.choice("xyz")) for t in texts[4:] for _ in range(8)]
+    rows += [(70, None, "x"), (70, "", "y"), (71, "", "x"), (None, a, "x"), (None, a, "x"), (None, None, None), (80, "one", "x"), (80, "two", "x"), (80, "one", "w")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = [tuple(r) for r in one_of_each(df, 5, 32, 2, 0.8).collect()]
+    groups, unnamed = stays(rows)
+    named = [r for r in got if r[0] is not None]
+    assert sorted(((t, lang) for i, t, lang in got if i is None), key=str) == unnamed
+    assert len(named) == len(groups) and all(sum(r in some for r in named) == 1 for some in groups.values())
+    assert {(3, a, "x"), (7, b, "x"), (9, c, "x"), (9, d, "x"), (80, "one", "w"), (80, "two", "x")} <= set(named) and (7, a, "x") not in named
+    again = [tuple(r) for r in one_of_each(df.repartition(3), 5, 32, 2, 0.8).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)
+    assert one_of_each(df.limit(0), 5, 32, 2, 0.8).count() == 0
