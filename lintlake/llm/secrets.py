@@ -106,18 +106,22 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHO
     """Every row of docs with `secrets`: array of (start, no, end, kind, value), by start, then kind; no numbers the kinds.
 
     Positions are code points, the end is exclusive. Nulls count as empty text. `random` spans are runs of 20 or
-    more key characters that hold no hex or access match (those stay as they are); they may lie in an assign span. Work on a
+    more key characters; hex and access matches in a run have their own spans and add nothing to its ratio, the rest of the run decides. Spans may overlap. Work on a
     text is near linear. Other columns stay, also one named `secrets`, which is replaced; rows repeat as they do in docs.
     """
     own = [c for c in docs.columns if c not in ("text", "secrets")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own], F.col("text")).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = located(base_spans(rows), RUN, "runs")
-    rows = rows.withColumn("runs", F.filter("runs", lambda x: ~x["value"].rlike(HEX) & ~x["value"].rlike(ACCESS)))
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    rows = rows.withColumn("_codes", F.when(F.size("runs") > 0, F.expr("transform(runs, x -> transform(split(x.value, ''), c -> ascii(c)))")))
-    rows = rows.withColumn("_ratios", F.when(F.size("runs") > 0, F.transform("_codes", lambda codes: F.aggregate(
-        F.arrays_zip(F.slice(codes, 1, F.size(codes) - 1).alias("a"), F.slice(codes, 2, F.size(codes) - 1).alias("b")), F.lit(0.0),
-        lambda s, p: s + F.coalesce(F.get(table, (p["a"] - FIRST) * SYMBOLS + p["b"] - FIRST), F.lit(0.0))))))
+    rows = rows.withColumn("_codes", F.when(F.size("runs") > 0, F.transform("runs", lambda x: F.transform(
+        F.split(x["value"], f"{HEX}|{ACCESS}"), lambda part: F.transform(F.split(part, ""), lambda c: F.ascii(c))))))
+
+    def ratio(codes: Column) -> Column:
+        return F.aggregate(
+            F.arrays_zip(F.slice(codes, 1, F.size(codes) - 1).alias("a"), F.slice(codes, 2, F.size(codes) - 1).alias("b")), F.lit(0.0),
+            lambda s, p: s + F.coalesce(F.get(table, (p["a"] - FIRST) * SYMBOLS + p["b"] - FIRST), F.lit(0.0)))
+
+    rows = rows.withColumn("_ratios", F.when(F.size("runs") > 0, F.transform("_codes", lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + ratio(x)))))
     rows = rows.withColumn("random", F.when(F.size("runs") > 0, F.expr(f"filter(runs, (x, i) -> _ratios[i] > {threshold})")).otherwise(F.expr("slice(runs, 1, 0)")))
     marked = [f"transform({k}, x -> named_struct('start', x.start, 'no', {i}, 'end', x.end, 'kind', '{k}', 'value', x.value))" for i, k in enumerate(KINDS)]
     return rows.select("_row.*", F.expr(f"array_sort(concat({', '.join(marked)}))").alias("secrets"))
