@@ -635,6 +635,7 @@ def build() -> dict[str, str]:
         "review_staged": sql(review(Q.strict(severity_threshold="Medium"), CHANGED, ignores=False), NO_TEXT + "reviewed"),
         "review_path_prefix": sql(review(strict, f"starts_with(path, '{ROOT}/src/')", in_file=True), NO_TEXT + "reviewed"),
         "content_hash": sql([CODE, TEXT, BOTH], f"SELECT path, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INTEGER AS hash32 FROM (SELECT path, {HASH} AS h FROM both_files)"),
+        "ledger_review": sql(review(strict), NO_TEXT + "reviewed"),
         "incremental_review": sql(review(strict), NO_TEXT + "reviewed"),
         "continuous_review": sql(["docs AS (SELECT 'docs/d' || doc_id || '.html' AS path, text AS content FROM documents)",
                                   *review(ReviewConfig(custom_rules=Q.CUSTOM, enable_frameworks=("angular", "react", "node")), source="docs", in_file=True)], NO_TEXT + "reviewed"),

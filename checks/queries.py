@@ -11,6 +11,7 @@ from lintlake.catalog import dims
 from lintlake.config import ReviewConfig
 from lintlake.functions.text import hash32, trim_all
 from lintlake.operators import blocks, changes, duplicates, files as fo, filters, findings as fi, fixes, scan, sequence, summary, tokens
+from lintlake.operators.ledger import Ledger
 from lintlake.plans.review import review_files, review_long_files
 from lintlake.sinks import reports
 from lintlake.sources import corpus
@@ -574,6 +575,23 @@ def incremental_review(spark, sf):
     return reviewed(got)
 
 
+@query
+def ledger_review(spark, sf):
+    """A log of five batches: an earlier corpus, with files that go again (and a framework with them) and others that differ; invalidated and
+    removed paths; a change list; the corpus as it is now. Findings are those of a full review."""
+    config, now = strict(), code_files(spark, sf)
+    fifth = F.col("path").rlike("[05]\\.[a-z]+$")
+    gone = now.where(F.col("path").rlike("[27]\\.[a-z]+$")).select(F.regexp_replace("path", "/f(\\d+)", "/gone$1").alias("path"), F.concat("content", F.lit("\nimport React from 'react';")).alias("content"))
+    before = now.withColumn("content", F.when(fifth, F.concat("content", F.lit("\nold();"))).otherwise(F.col("content")))
+    log = Ledger(spark, run_folder(spark, "ledger"), config)
+    log.update(before.unionByName(gone))
+    log.invalidate(now.where(F.col("path").rlike("3\\.js$")).select("path"))
+    log.remove(gone.where(F.col("path").rlike("2\\.[a-z]+$")).select("path"))
+    log.change(now.where(F.col("path").rlike("0\\.[a-z]+$")))
+    log.update(now)
+    return reviewed(log.findings())
+
+
 @query
 def continuous_review_stream(spark, sf):
     """The documents arrive as a stream of Parquet files."""

@@ -28,16 +28,21 @@ def filter_excluded_dirs(files: DataFrame) -> DataFrame:
     return files.where(~is_excluded(F.col("path")))
 
 
+def ignored_by_path(path: Column, names: tuple[str, ...]) -> Column:
+    return any_of([F.contains(slashed(path), F.lit(f"/{n}/")) for n in names])
+
+
 def filter_ignore_paths(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    path = slashed(F.col("path"))
-    return files.where(~any_of([F.contains(path, F.lit(f"/{n}/")) for n in names]))
+    return files.where(~ignored_by_path(F.col("path"), names))
 
 
-def filter_ignore_patterns(files: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+def ignored_by_pattern(path: Column, patterns: tuple[str, ...]) -> Column:
     """``*.ext`` is an ending of the path, anything else a part of it."""
-    hits = [F.endswith(F.col("path"), F.lit(p[1:])) if p.startswith("*.") else F.contains(slashed(F.col("path")), F.lit(p))
-            for p in patterns]
-    return files.where(~any_of(hits))
+    return any_of([F.endswith(path, F.lit(p[1:])) if p.startswith("*.") else F.contains(slashed(path), F.lit(p)) for p in patterns])
+
+
+def filter_ignore_patterns(files: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+    return files.where(~ignored_by_pattern(F.col("path"), patterns))
 
 
 def within_size_cap(content: Column, cap: int = dims.MAX_FILE_CHARS) -> Column:
