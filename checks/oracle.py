@@ -606,6 +606,9 @@ def build() -> dict[str, str]:
         "filter_severity": sql(BASE, NO_TEXT + "full_findings WHERE severity IN ('High', 'Critical')"),
         "filter_confidence": sql(BASE, NO_TEXT + "full_findings WHERE confidence >= 0.6"),
         "filter_whitelist_names": sql(BASE, NO_TEXT + f"full_findings WHERE NOT {has('text', Q.NAMES)}"),
+        "filter_whitelist_table": sql([*KEPT, "listed AS (SELECT 'kept' || (o_orderkey * 10) AS word FROM orders WHERE o_orderkey % 64 = 0)",
+                                       "held AS (SELECT DISTINCT text FROM (SELECT DISTINCT text FROM kept) t JOIN listed ON contains(text, word))"],
+                                      NO_TEXT + "kept WHERE text NOT IN (SELECT text FROM held)"),
         "filter_whitelist_patterns": sql(BASE, NO_TEXT + f"full_findings WHERE NOT ({rx('text', Q.PATTERNS[0])} OR {rx('text', Q.PATTERNS[2])})"),
         "filter_framework": sql([*BASE, frameworks()], NO_TEXT + f"full_findings WHERE NOT {suppressed('text', 'rule_id')}"),
         "union_findings": sql([*CODE_LINES, scan(R.SECURITY_RULES, "a"), scan(R.RUNTIME_RULES, "b"), TODO, DIM,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lintlake.catalog import dims
 from lintlake.config import ReviewConfig
 from lintlake.functions.text import hash32, trim_all
-from lintlake.operators import blocks, changes, duplicates, files as fo, filters, findings as fi, fixes, scan, sequence, summary, tokens
+from lintlake.operators import blocks, changes, duplicates, files as fo, filters, findings as fi, fixes, lists, scan, sequence, summary, tokens
 from lintlake.operators.ledger import Ledger
 from lintlake.plans.review import review_files, review_long_files
 from lintlake.sinks import reports
@@ -407,6 +407,14 @@ def filter_whitelist_names(spark, sf):
     return slim_full(filters.filter_whitelist_names(base_findings(spark, sf), NAMES))
 
 
+@query
+def filter_whitelist_table(spark, sf):
+    """Names of a table: the numbers of some orders, which stand in the names of their files' code."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 64 = 0")
+    names = orders.select(F.concat(F.lit("kept"), (F.col("o_orderkey") * 10).cast("string")).alias("word"))
+    return slim_full(lists.filter_whitelist_table(kept_findings(spark, sf), names))
+
+
 @query
 def filter_whitelist_patterns(spark, sf):
     return slim_full(filters.filter_whitelist_patterns(base_findings(spark, sf), PATTERNS))

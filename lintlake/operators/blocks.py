@@ -6,9 +6,9 @@ at or after the start on, where P = B. Starts and braces are put in one sequence
 file, and "the next brace at depth B" is a window over (path, depth). Indented blocks end
 before the next line that is not deeper, found the same way over (path, level).
 
-Only lines with a brace, a counted word or a start are shuffled, once, by path; a file is
-bounded by the size cap, so a window partition is too. Body contents are differences of
-running counts; bodies are never assembled.
+Only lines with a brace, a counted word or a start are shuffled, once, by path, so a window
+partition holds such lines of one file; files too long for that are reviewed in pieces (see
+pieces). Body contents are differences of running counts; bodies are never assembled.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ from lintlake.functions.regex import escape_literal
 from lintlake.functions.text import any_of, split_lines, starts_with_any, trim_all
 from lintlake.sources.local import small_table
 
+MAX_BROADCAST_RULES = 10_000
+
 
 def slashed(path: Column) -> Column:
     return F.translate(path, "\\", "/")
@@ -104,8 +106,9 @@ def comment_flags(lines: DataFrame) -> DataFrame:
 def lang_gate(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of file and rule: a rule without languages applies to every known language.
 
-    ``rules(uid, languages ARRAY<STRING>)`` is a table of at most a few hundred rows.
+    ``rules(uid, languages ARRAY<STRING>)`` is sent to all tasks if it has no more than MAX_BROADCAST_RULES rows.
     """
     known = F.array(*[F.lit(x) for x in dims.LANGUAGES])
     per_lang = rules.select("uid", F.explode(F.coalesce("languages", known)).alias("lang_id"))
-    return files.join(F.broadcast(per_lang), "lang_id")
+    small = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
+    return files.join(F.broadcast(per_lang) if small else per_lang, "lang_id")

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from lintlake.catalog.dims import SEVERITY_RANK, label
 from lintlake.catalog.rules import BY_UID, Rule
 from lintlake.config import ReviewConfig
+from lintlake.operators.files import MAX_BROADCAST_RULES
 from lintlake.sources.local import small_table
 
 SLIM = ["path", "lang_id", "line_no", "end_line", "uid", "args", "pos", "ord", "text"]
 FULL = ["path", "lang_id", "line_no", "end_line", "severity", "sev_rank", "category", "message",
         "explanation", "suggested_fix", "confidence", "rule_id", "seq", "text"]
-MAX_BROADCAST_RULES = 10_000
 
 
 def slim(df: DataFrame, uid: str | Column, args: list[Column] | None = None, line_no: str = "line_no",

@@ -1,6 +1,6 @@
 """Rules over the lines of one file in their order.
 
-A file is one bounded row and its lines are an array in it, so a rule that looks at the
+A file is one row and its lines are an array in it (long files: see pieces), so a rule that looks at the
 next four lines, at the twenty before, or keeps a running loop depth is a function of that
 array. None of these rules shuffles or sorts. Each ``*_hits`` gives an array of findings
 and is guarded by the language and a word the file must hold; the review puts them together

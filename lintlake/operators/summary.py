@@ -26,7 +26,7 @@ def agg_category(findings: DataFrame) -> DataFrame:
 
 
 def issue_list() -> Column:
-    """Aggregate: the findings of one file in report order. A file is bounded, so is its list."""
+    """Aggregate: the findings of one file in report order, as one list."""
     order = F.struct((-F.col("sev_rank")).alias("o1"), F.col("line_no").alias("o2"), F.col("seq").alias("o3"))
     items = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(*ISSUE).alias("issue"))))
     return F.transform(items, lambda x: x["issue"])

@@ -1,4 +1,4 @@
-"""Rules over the names of one file. A file is one bounded row, so these stay inside it."""
+"""Rules over the names of one file. A file is one row, so these stay inside it; for long files see pieces."""
 
 from __future__ import annotations
 
