@@ -13,8 +13,8 @@ from lintlake.llm import decontaminate, mixing, secrets, simhash, toxicity
 from lintlake.llm.common import Written, table
 from lintlake.llm.learning import labelled
 
-#: Near-duplicates: shingles of five words, 128-bit fingerprints within 32 bits, checked for a Jaccard similarity of 0.8
-SHINGLE, WORDS64, RADIUS, SIMILARITY = 5, 2, 32, 0.8
+#: Near-duplicates as op10_simhash links them: shingles of three words, 64-bit fingerprints, at most 3 differing bits
+SHINGLE, RADIUS = 3, 3
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays, the one of the least id; documents without an id stay."""
-    return simhash.one_of_each(docs, SHINGLE, RADIUS, WORDS64, SIMILARITY)
+    """Of each group of documents that fingerprints link one stays, the one of the least id; documents without an id stay."""
+    return simhash.one_of_each(docs, SHINGLE, RADIUS)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
     assert 4 <= len(cp.STAGES) <= 5
 
 
