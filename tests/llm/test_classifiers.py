@@ -47,6 +47,15 @@ def test_labels_of_held_out_rows_are_not_seen(spark, module, column, modulus, he
     assert labelled(docs, labels, column, modulus, held, 10).count() == 10
 
 
+def test_a_repeated_id_brings_one_row(spark):
+    docs = spark.createDataFrame([(2, f"text {i % 50}") for i in range(4000)] + [(i, "x") for i in range(3, 60)] + [(61, None)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(2, 0)] * 5, "doc_id long, toxic int")
+    got = [tuple(r) for r in labelled(docs, labels, "toxic", 3, 1, 40).collect()]
+    assert len(got) == len({r[0] for r in got}) <= 40
+    every = [tuple(r) for r in labelled(docs, labels, "toxic", 3, 1).collect()]
+    assert len(every) == len({r[0] for r in every}) and sorted(every) == sorted(tuple(r) for r in labelled(docs.repartition(5), labels, "toxic", 3, 1).collect())
+
+
 @pytest.mark.parametrize("module,column,modulus,held,threshold", CASES)
 def test_no_labels_no_rows(spark, module, column, modulus, held, threshold):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
