@@ -4,7 +4,11 @@ A source with target t and size s is taken t / s times: each document wholly flo
 remaining fraction as inclusion probability. The flight moves the probabilities inside the null space of two balancing
 constraints (words and documents of the source) until all but two are 0 or 1: three units at a time, whose null direction
 has a closed form. Sources are cut into blocks that fly in parallel, a large source like many small ones; what is left, at most two units
-a block, flies again, until a source is one block; its last two units are landed where the word total is nearest.
+a block, flies again, until a source is one block; its last two units are landed where the word total is nearest. Long documents
+fly first, so that what is left to land is short.
+
+Equal rows are one unit whatever their number: r of them take floor(r * fraction) further copies for sure, and what remains of
+r * fraction, less than one copy, flies as one row. So a source that is one text many times meets its target like any other.
 
 All random moves come from seeds made of the source, the block and the round, and blocks from hashes of the rows, so reruns agree.
 """
@@ -23,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 BLOCK = 4096
+#: Rows of one unit written out by a task at a time
+RUN = 1 << 16
 NEAR = 1e-9
 
 
@@ -112,7 +118,7 @@ def one_round(units: DataFrame, no: int, seed: int) -> DataFrame:
         rows: list[dict] = []
 
         def fly():
-            sizes = [r["size"] * r["rows"] for r in rows]
+            sizes = [r["size"] for r in rows]
             first = rows[0]
             p = flight(sizes, [r["p"] for r in rows], random.Random(f"{seed}|{first['skey']}|{first['block']}|{no}"))
             if first["blocks"] == 1:
@@ -130,15 +136,17 @@ def one_round(units: DataFrame, no: int, seed: int) -> DataFrame:
         if rows:
             yield fly()
 
-    return (dealt.repartition("skey", "block").sortWithinPartitions("skey", "block", "spot", "doc_id", "size", "mark")
+    return (dealt.repartition("skey", "block").sortWithinPartitions("skey", "block", F.col("size").desc(), "spot", "doc_id", "mark")
             .mapInArrow(run, units.schema))
 
 
 def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Units of equal rows (doc_id, source, mark, size, rows) with source_size, target and copies: how often each row is taken.
+    """Units of equal rows (doc_id, source, mark, size, rows) with source_size, target, whole and extra: each of the rows is taken
+    `whole` times, and `extra` of them once more.
 
-    Null text has size 0, a null source is a source (the last one), a null doc_id an id like any other. Equal rows (id, source, text)
-    are decided together. No row is taken more than `cap` times. Other columns are ignored.
+    Null text has size 0, a null source is a source (the last one), a null doc_id an id like any other. Rows equal in id, source and
+    text are one unit, of which any number of rows may be taken. No row is taken more than `cap` times. Ties in landing go to the
+    word total, then the document total, then the earlier unit. Other columns are ignored. An empty table gives no units.
     """
     w = Written(docs.sparkSession)
     units = w.put(sized(docs).groupBy("doc_id", "source", "mark", "size").agg(F.count("*").alias("rows")), "units")
@@ -147,7 +155,8 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, c
     sources = w.put(sources.withColumn("skey", skey).drop("source"), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     now = w.put(units.withColumn("skey", skey).join(sources, "skey").withColumn("whole", F.floor(ratio + NEAR).cast("long"))
-                .withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0))).withColumn("spot", F.xxhash64("doc_id", "mark", F.lit(seed))), "start")
+                .withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)) * F.col("rows")).withColumn("sure", F.floor(F.col("p") + NEAR).cast("long"))
+                .withColumn("p", F.greatest(F.col("p") - F.col("sure"), F.lit(0.0))).withColumn("spot", F.xxhash64("doc_id", "mark", F.lit(seed))), "start")
     w.drop(units)
     done, no = [], 0
     open_ = F.col("p").between(NEAR, 1 - NEAR)
@@ -161,17 +170,41 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, c
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "mark", "size", "rows", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "mark", "size", "rows", "source_size", "target", "whole", (F.col("sure") + F.round("p").cast("long")).alias("extra"))
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per document row."""
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")).drop("_")
+    """doc_id, size, source_size, target, taken: one row per document row. Units of very many rows are spread over tasks by runs of RUN rows."""
+    few = mixed.where(F.col("rows") <= RUN).withColumn("from", F.lit(0).cast("long"))
+    many = mixed.where(F.col("rows") > RUN).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(RUN).cast("long"))))
+    runs = few.unionByName(many.repartition("doc_id", "from"))
+    each = runs.withColumn("n", F.explode(F.sequence(F.col("from") + 1, F.least("rows", F.col("from") + RUN))))
+    copies = F.col("whole") + (F.col("n") <= F.col("extra")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
 def taken_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of docs that are taken, with `copies`."""
-    own = [F.col(f"d.`{c}`") for c in docs.columns if c != "copies"]
-    d, m = docs.withColumn("_mark", mark()).alias("d"), mixed.where("copies > 0").alias("m")
+    """Rows of docs that are taken, with `copies` (a column of that name in docs gives way to it).
+
+    Where only some of a unit's equal rows are taken once more, these are the first by all their columns (as JSON), so reruns agree.
+    None of the columns may be called _mark, _row or _n.
+    """
+    names = [c for c in docs.columns if c != "copies"]
+    own = [F.col(f"d.`{c}`") for c in names]
+    d = docs.withColumn("_mark", mark()).alias("d")
     same = (F.col("d._mark") == F.col("m.mark")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("m.source"))
-    return d.join(m, same).select(*own, F.col("m.copies"))
+    some = (F.col("extra") > 0) & (F.col("extra") < F.col("rows"))
+    alike = mixed.withColumn("copies", F.col("whole") + (F.col("extra") > 0).cast("long")).where(~some & (F.col("copies") > 0)).alias("m")
+    out = d.join(alike, same).select(*own, F.col("m.copies"))
+    split = mixed.where(some)
+    if not split.limit(1).count():
+        return out
+    key = ["doc_id", "source", "mark"]
+    rows = d.join(split.alias("m"), same).select(*[F.col(f"m.{k}").alias(f"_{k}") for k in key], F.col("m.whole").alias("_whole"), F.col("m.extra").alias("_extra"), F.struct(*own).alias("_row"))
+    order = [F.col(f"_{k}") for k in key] + [F.to_json("_row", {"ignoreNullFields": "false"}), F.monotonically_increasing_id()]
+    rows = numbered(rows, order, "_n")
+    first = rows.groupBy(*[f"_{k}" for k in key]).agg(F.min("_n").alias("_first")).select(*[F.col(f"_{k}").alias(k) for k in key], "_first").alias("f")
+    here = (F.col("r._mark") == F.col("f.mark")) & F.col("r._doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("r._source").eqNullSafe(F.col("f.source"))
+    more = (F.col("_n") - F.col("_first") < F.col("_extra")).cast("long")
+    picked = rows.alias("r").join(first, here).select("_row", (F.col("_whole") + more).alias("copies")).where("copies > 0")
+    return out.unionByName(picked.select(*[F.col(f"_row.`{c}`") for c in names], "copies"))

@@ -57,11 +57,32 @@ def test_mix(spark, monkeypatch, block):
         assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * max(1, want[s])
         assert r["taken"] <= 2 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
         total[s] = total.get(s, 0) + r["taken"]
-    assert all(abs(total[s] - want[s]) <= 310 + (s == "b") * 20_000 for s in want)
-    assert abs(total["Z"] - want["Z"]) <= 300
+    longest = {s: max(len((r[1] or "").split()) for r in rows if r[2] == s) for s in want}
+    assert all(abs(total[s] - want[s]) <= longest[s] / 2 + 1 for s in want)
     kept = taken_rows(df, mix(df)).collect()
-    assert {(r["doc_id"], r["copies"]) for r in kept if r["text"] and r["doc_id"] not in (2002, None)} == {
-        (r["doc_id"], r["taken"] // r["size"]) for r in got if r["taken"] and r["doc_id"] not in (2002, None)}
+    assert sorted((str(r["doc_id"]), r["copies"]) for r in kept if r["text"]) == sorted((str(r["doc_id"]), r["taken"] // r["size"]) for r in got if r["taken"])
+
+
+@pytest.mark.parametrize("run", [7, 1 << 16])
+def test_many_equal_rows_meet_the_target(spark, monkeypatch, run):
+    """A source of one text many times over, with rows that differ in another column only, some under a null id."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    ten = "w " * 10
+    rows = [(i, ten, "a", str(i)) for i in range(2000)] + [(5000, ten, "b", str(i % 3)) for i in range(900)] + [(6000 + i, ten, "b", "") for i in range(100)]
+    rows += [(None, ten, None, "n")] * 301 + [(7000, ten, "c", "c")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    sizes = {s: 10 * sum(r[2] == s for r in rows) for s in ("a", "b", "c", None)}
+    want = brute_targets(sizes)
+    source_of = {r[0]: r[2] for r in rows}
+    got = taken_words(mix(df)).collect()
+    assert len(got) == len(rows) and all(r["taken"] in (0, 10, 20) for r in got)
+    kept = taken_rows(df, mix(df)).collect()
+    for s in want:
+        assert abs(sum(r["taken"] for r in got if source_of[r["doc_id"]] == s) - want[s]) <= 5.001
+        assert sum(10 * r["copies"] for r in kept if r["source"] == s) == sum(r["taken"] for r in got if source_of[r["doc_id"]] == s)
+    again = taken_rows(df.repartition(5), mix(df.repartition(3))).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+    assert all(1 <= r["copies"] <= 2 for r in kept)
 
 
 def test_empty(spark):
