@@ -1,11 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over a few tokens: the tokens at its 1s are hashed, those at its 0s are ignored, so it still hits when
-tokens at ignored places were substituted. The seeds follow from the run that is verified: the best-scoring run (a match 1, a
-substitution -2) has more than twice as many matches as substitutions in whatever it begins with, so its first SEED matches
-lie in one of a few ways, each of which is a seed, and every run is hit where it begins. Hashes of all benchmark seeds and of
-all document seeds are joined; hits that do not go on to the matches asked for are dropped, and on the diagonal of each other
-one document and item are compared token by token, and the best run is verified.
+tokens at ignored places were substituted. The seeds follow from the criterion that is verified, a stretch with enough matches that
+are a large enough share of it. A stretch of twice the matches asked for can be cut in two, of which one meets the
+criterion too, so each holds one of a finite set of short stretches; masks are picked until each of those holds one (`seeds_of`). Hashes
+of all benchmark seeds and of all document seeds are joined; hits without a short stretch around them are dropped, and on
+the diagonal of each other one document and item are compared token by token, and the stretch of most matches is verified.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_TOKENS tokens (a proven size; more items make more passes over the
 documents, not larger broadcasts); documents are read where they lie, nothing of them is shuffled but the overlaps found.
@@ -13,12 +13,13 @@ documents, not larger broadcasts); documents are read where they lie, nothing of
 
 from __future__ import annotations
 
-import os
 import re
+from collections import Counter
+from functools import lru_cache
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,27 +41,49 @@ def tokens(text: bytes) -> list[bytes]:
     return TOKEN.findall(text.lower())
 
 
-def offsets(mask: str) -> np.ndarray:
-    return np.array([i for i, c in enumerate(mask) if c == "1"])
-
-
-def seeds_of(count: int) -> tuple[str, ...]:
-    """All ways in which the first `count` matches of a run can lie: at every place more than two matches for a substitution."""
-    out, begun = [], [""]
-    while begun:
-        mask = begun.pop()
-        ones = mask.count("1")
-        if ones == count:
-            out.append(mask)
-            continue
-        begun.append(mask + "1")
-        if ones > 2 * (len(mask) - ones + 1):
-            begun.append(mask + "0")
-    return tuple(sorted(out, key=lambda m: (len(m), m)))
+def short_stretches(least: int, share: float) -> list[str]:
+    """Stretches of `least` to 2 * `least` - 1 matches (1) that are at least `share` of them, from a match to a match. Every longer
+    stretch that meets the criterion holds one of these."""
+    out = []
+    for matches in range(least, 2 * least):
+        free = int(matches / share + 1e-9) - matches
+        for gaps in combinations_with_replacement(range(1, matches), free) if matches > 1 else [()]:
+            # all ways to deal so many substitutions, and with them (their places may fall away) those with fewer
+            zeros = Counter(gaps)
+            out.append("".join("1" + "0" * zeros[i + 1] for i in range(matches)))
+    return out
 
 
-#: The seeds in windows of 12 tokens; 8 matches begin at the fifth token at the latest
-MASKS = tuple("0" * i + m + "0" * (12 - len(m) - i) for m in seeds_of(SEED) for i in range(5))
+@lru_cache
+def seeds_of(count: int, least: int, share: float) -> tuple[int, tuple[tuple[int, ...], ...]]:
+    """Leading tokens and, for each seed, the places of its other tokens as seen from the first leading one (also before it).
+
+    All short stretches hold so many successive matches as there are leading tokens. The masks are picked greedily, those first that the
+    most stretches hold, until every one of them holds a mask. One of them is `count` matches in succession, which items with fewer tokens
+    than the matches asked for need."""
+    kinds = short_stretches(max(least, count), share)
+    lead = min(min(max(map(len, k.split("0"))) for k in kinds), count)
+    pad = 2 * count
+    bits = np.array([int(k[::-1], 2) << pad for k in kinds], object)
+    width = max(map(len, kinds))
+    bits = np.array([[b >> i & 1 for i in range(width + 2 * pad)] for b in bits], bool)
+    runs = np.logical_and.reduce([bits[:, pad + i:pad + i + width] for i in range(lead)])
+
+    def held(rest: tuple[int, ...]) -> np.ndarray:
+        return np.logical_and.reduce([runs, *[bits[:, pad + i:pad + i + width] for i in rest]]).any(axis=1)
+
+    first = tuple(range(lead, count))
+    picked, open_ = [first], ~held(first)
+    # near places first: a mask of a small span is the better one of two that as many stretches hold
+    near = sorted(combinations([i for i in range(lead - count - 2, count + 3) if not 0 <= i < lead], count - lead), key=lambda r: (max(*r, lead - 1) - min(*r, 0), r)) if lead < count else []
+    while open_.any():
+        gains = [(held(r) & open_).sum() for r in near]
+        best = int(np.argmax(gains))
+        if not gains[best]:
+            raise ValueError(f"no seed of {count} tokens for {least} matches at a share of {share}")
+        picked.append(near[best])
+        open_ &= ~held(near[best])
+    return lead, tuple(picked)
 
 
 def stirred(h: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -83,7 +106,7 @@ def lead_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 def seed_hashes(codes: np.ndarray, at: np.ndarray, lead: np.ndarray, rest: np.ndarray, no: int) -> np.ndarray:
     """Hash of a seed's tokens at some places, of which the lead is hashed already; 0 if a counted token has code 0."""
     out, whole = stirred(lead, np.uint64(no + 1)), lead != 0
-    for i in rest:
+    for i in rest.tolist():
         part = codes[at + i]
         whole &= part != 0
         out = stirred(out, part)
@@ -103,46 +126,45 @@ def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 class Items:
     """A block of benchmark items: vocabulary, all items' tokens in one array, sorted hashes of all seeds with their place in it."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], least: int = LEAST_TOKENS):
-        self.ids, self.least = [i for i, _ in rows], least
+    def __init__(self, rows: list[tuple[int, bytes]], least: int = LEAST_TOKENS, share: float = LEAST_SHARE):
+        self.ids, self.least, self.share = [i for i, _ in rows], max(least, 1), share
         texts = [tokens(t) for _, t in rows]
         words = sorted(set().union(*texts)) if texts else []
         self.vocabulary = dict(zip(words, mixed(np.arange(1, 1 + len(words), dtype=np.uint64)).tolist()))
         self.codes = [np.array([self.vocabulary[t] for t in ts], np.uint64) for ts in texts]
-        count = max(1, min(SEED, least))
-        masks = seeds_of(count)
-        lead = len(os.path.commonprefix(masks).split("0")[0])
-        # items stand apart by more than a seed, or the matches asked for, can reach
-        self.reach = max(least, 1) + (max(least, 1) - 1) // 2
-        gap = np.zeros(max(self.reach, max(map(len, masks))) + 1, np.uint64)
+        count = min(SEED, self.least)
+        # what has more matches has those 8 as well
+        lead, others = seeds_of(count, min(self.least, LEAST_TOKENS), share)
+        # a short stretch is no longer than this; items stand further apart, and away from both ends
+        self.reach = max(int((2 * self.least - 1) / share + 1e-9), 3 * SEED)
+        gap = np.zeros(self.reach + 1, np.uint64)
         self.sizes = np.array([len(c) for c in self.codes], np.int64)
-        self.starts = np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
-        self.all = np.concatenate([x for c in self.codes for x in (c, gap)]) if self.codes else gap
+        self.starts = np.cumsum(self.sizes + len(gap)) - self.sizes
+        self.all = np.concatenate([gap, *[x for c in self.codes for x in (c, gap)]])
         #: (leading tokens, bitmap of their hashes, [(places of the other tokens, number)]): all seeds, and one for each size of items below a seed's
         self.seeds, hashes, places = [], [], []
-        for size, kinds in [(lead, [(offsets(m)[lead:], m_no) for m_no, m in enumerate(masks)])] + [(int(n), [(np.zeros(0, np.int64), 1000 + int(n))]) for n in np.unique(self.sizes[(self.sizes > 0) & (self.sizes < count)])]:
+        for size, kinds in [(lead, [(np.array(r, np.int64), no) for no, r in enumerate(others)])] + [(int(n), [(np.zeros(0, np.int64), 1000 + int(n))]) for n in np.unique(self.sizes[(self.sizes > 0) & (self.sizes < count)])]:
             leads = lead_hashes(self.all, size)
             at = np.flatnonzero(leads) if kinds[0][1] < 1000 else self.starts[self.sizes == size]
             leads = leads[at]
             self.seeds.append((size, bitmap_of(leads), kinds))
             for rest, no in kinds:
-                inside = at if not len(rest) else at[at + rest[-1] < len(self.all)]
-                h = seed_hashes(self.all, inside, leads[:len(inside)], rest, no)
+                h = seed_hashes(self.all, at, leads, rest, no)
                 hashes.append(h[h != 0])
-                places.append(inside[h != 0].astype(np.int32))
+                places.append(at[h != 0].astype(np.int32))
         self.hashes, self.places = np.concatenate(hashes), np.concatenate(places)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.places = self.hashes[order], self.places[order]
         self.bitmap = bitmap_of(self.hashes)
 
     def diagonals(self, codes: np.ndarray) -> np.ndarray:
-        """Distinct (item, place in the document minus place in the item) of all seed hits from which a run has the matches asked for."""
+        """Distinct (item, place in the document minus place in the item) of all seed hits in a stretch that has the matches asked for."""
         out = []
-        codes = np.concatenate([codes, np.zeros(self.reach + SEED * 2, np.uint64)])
+        edge = np.zeros(self.reach + 1, np.uint64)
+        codes = np.concatenate([edge, codes, edge])
         for size, bitmap, kinds in self.seeds:
             leads = lead_hashes(codes, size)
             begin = np.flatnonzero(marked(bitmap, leads))
-            begin = begin[begin < len(codes) - self.reach - SEED * 2]
             leads = leads[begin]
             for rest, no in kinds if len(begin) else []:
                 h = seed_hashes(codes, begin, leads, rest, no)
@@ -160,29 +182,55 @@ class Items:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def lasting(self, codes: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """(item, shift) of hits that reach the matches asked for before there are half as many substitutions."""
+        """(item, shift) of hits that lie in a stretch, no longer than short ones are, with the matches asked for and their share."""
         item = np.searchsorted(self.starts, place, "right") - 1
         asked = np.minimum(self.least, self.sizes[item])
-        sums, matches, open_ = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.ones(len(at), bool)
-        for i in range(self.reach):
-            own = self.all[place + i]
-            same = (codes[at + i] == own) & (own != 0)
-            sums += np.where(same, 1, -2)
-            open_ &= (sums > 0) | (matches >= asked)
-            matches += same & open_
-        kept = matches >= asked
-        return np.stack([item[kept], at[kept] - place[kept] + self.starts[item[kept]]], axis=1)
+        around = range(-self.reach, self.reach + 1)
+
+        def alike(i: int, rows: np.ndarray) -> np.ndarray:
+            # items, and the ends, stand more than the reach apart: these places are the item's own or in the gaps beside it
+            own = self.all[place[rows] + i]
+            return (codes[at[rows] + i] == own) & (own != 0)
+
+        rows = np.arange(len(at))
+        rows = rows[sum((alike(i, rows).astype(np.int32) for i in around), np.zeros(len(rows), np.int32)) >= asked]
+        sums = np.zeros((len(around) + 1, len(rows)), np.int32)
+        for n, i in enumerate(around):
+            sums[n + 1] = sums[n] + alike(i, rows)
+        kept = np.zeros(len(rows), bool)
+        for length in range(1, self.reach + 1):
+            # stretches that hold the place of the hit
+            first = np.arange(max(0, self.reach + 1 - length), self.reach + 1)
+            most = (sums[first + length] - sums[first]).max(axis=0, initial=0)
+            kept |= (most >= asked[rows]) & (most >= self.share * length - 1e-9)
+        rows = rows[kept]
+        return np.stack([item[rows], at[rows] - self.reach - 1 - place[rows] + self.starts[item[rows]]], axis=1)
 
     def overlap(self, codes: np.ndarray, item: int, shift: int) -> tuple[int, int, int]:
-        """First and last + 1 document token of the best-scoring run on the diagonal (a match 1, a substitution -2), and its matches."""
+        """First and last + 1 document token of the stretch of most matches on the diagonal among those in which they are the share asked
+        for (the shortest, then the first, of several), and its matches."""
         own = self.codes[item]
         lo, hi = max(0, shift), min(len(codes), shift + len(own))
         same = codes[lo:hi] == own[lo - shift:hi - shift]
-        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        low = np.minimum.accumulate(sums)
-        end = int((sums - low).argmax())
-        start = int(np.flatnonzero(sums[:end + 1] == low[end])[-1])
-        return lo + start, lo + end, int(same[start:end].sum())
+        return (lo, lo, 0) if not same.any() else tuple(x + y for x, y in zip((lo, lo, 0), best_stretch(same, self.share)))
+
+
+def best_stretch(same: np.ndarray, share: float) -> tuple[int, int, int]:
+    """Start, end and matches of the stretch of most matches that are at least `share` of it; the shortest, then the first, of several.
+
+    For each end the start with the most matches is the first one at which matches less share * places stand no higher than at the end."""
+    count = np.concatenate([[0], np.cumsum(same)])
+    over = count - share * np.arange(len(count))
+    low = np.minimum.accumulate(over)
+    start = np.searchsorted(-low, -over - 1e-9, "left")
+    # from a match to a match: what is cut off at the ends raises the share
+    hits = np.flatnonzero(same)
+    ends = hits + 1
+    begin = start[ends]
+    begin = hits[np.searchsorted(hits, begin, "left")]
+    matches = count[ends] - count[begin]
+    best = np.lexsort((begin, ends - begin, -matches))[0]
+    return int(begin[best]), int(ends[best]), int(matches[best])
 
 
 def overlaps_in(text: bytes, block: Items, least: int, share: float) -> dict[int, tuple[int, int, int, int]]:
@@ -194,7 +242,7 @@ def overlaps_in(text: bytes, block: Items, least: int, share: float) -> dict[int
     for item, shift in block.diagonals(codes).tolist():
         start, end, matches = block.overlap(codes, item, shift)
         size = len(block.codes[item])
-        if matches >= min(least, size) and matches >= share * (end - start):
+        if matches >= min(block.least, size):
             best[item] = max(best.get(item, (0, 0, 0, 0)), (matches, -start, -end, size))
     return {i: (m, -s, -e, n) for i, (m, s, e, n) in best.items()}
 
@@ -217,9 +265,10 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_TOKENS):
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, item_id, matches, first_token, end_token, item_tokens: the best verified overlap of each document and item.
 
-    An overlap counts if at least `least` tokens match (all, for shorter items) and they are at least `share` of its tokens.
-    Every such best-scoring run is found, also in items shorter than the seeds; items without a token match nothing. Null texts are empty, ids
-    may be null, repeated rows are found each. Other columns are ignored. Documents without an overlap give no row.
+    An overlap is a stretch of successive tokens in which at least `least` match (all, for shorter items) and those are at least `share`
+    of it. Every document and item that have one are found, also items shorter than the seeds, and further matches never make an overlap
+    less; items without a token match nothing. Of several, that of most matches is given, then the first in the document. Null texts are
+    empty, ids may be null, repeated rows are found each. Other columns are ignored. Documents without an overlap give no row.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
     kind = "doc_id long, item_id long, matches int, first_token int, end_token int, item_tokens int"
@@ -228,7 +277,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKEN
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, shared=shared):
-            block = Items(shared.value, least)
+            block = Items(shared.value, least, share)
             for whole in batches:
                 for b in in_parts(whole):
                     found = [(i, block.ids[item], m, s, e, n) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
@@ -248,7 +297,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, shar
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, shared=shared):
-            block = Items(shared.value, least)
+            block = Items(shared.value, least, share)
             for whole in batches:
                 for b in in_parts(whole):
                     texts = b.column("text").cast(pa.binary()).to_pylist()

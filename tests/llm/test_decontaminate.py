@@ -1,35 +1,37 @@
 import random
 
-import numpy as np
 import pytest
 
 from lintlake.llm import decontaminate
-from lintlake.llm.decontaminate import MASKS, Items, clean, contaminated, offsets, tokens
+from lintlake.llm.decontaminate import Items, clean, contaminated, overlaps_in, seeds_of, short_stretches, tokens
 
 DOCS = "doc_id long, text string, item_id string, matches string"
 
 
+def stretches(same, least, share):
+    """Most matches of any stretch that meets the criterion; 0 if none does."""
+    best = 0
+    for x in range(len(same)):
+        m = 0
+        for y in range(x, len(same)):
+            m += same[y]
+            if m >= least and m >= share * (y + 1 - x):
+                best = max(best, m)
+    return best
+
+
 def brute(docs, items, least=8, share=0.75):
-    """Every diagonal with a window that agrees at all counted places of some mask (short items: everywhere)."""
+    """The criterion alone: every diagonal, every stretch, no seeds and none of the operator's own parts."""
     out = set()
     for d, text in docs:
         t = tokens((text or "").encode())
         for i, item in items:
-            b = tokens((item or "").encode())
+            own = tokens((item or "").encode())
             best = 0
-            for shift in range(-len(b) + 1, len(t)):
-                same = {j: t[j + shift] == b[j] for j in range(len(b)) if 0 <= j + shift < len(t)}
-                if len(b) < 12:
-                    hit = bool(b) and len(same) == len(b) and all(same.values())
-                else:
-                    hit = any(all(same.get(p + int(o), False) for o in offsets(m)) and p + 11 in same and p in same for m in MASKS for p in range(len(b) - 11))
-                if not hit:
-                    continue
-                keys = sorted(same)
-                run = max(((sum(1 if same[k] else -2 for k in keys[x:y]), -(y - x), x, y) for x in range(len(keys)) for y in range(x, len(keys) + 1)))
-                matches = sum(same[k] for k in keys[run[2]:run[3]])
-                if matches >= min(least, len(b)) and matches >= share * (run[3] - run[2]):
-                    best = max(best, matches)
+            for shift in range(-len(own) + 1, len(t)) if set(t) & set(own) else []:
+                same = [t[j + shift] == own[j] for j in range(len(own)) if 0 <= j + shift < len(t)]
+                if sum(same) >= min(least, len(own)):
+                    best = max(best, stretches(same, min(least, len(own)), share))
             if best:
                 out.add((d, i, best))
     return out
@@ -54,7 +56,7 @@ def test_against_brute_force(spark, monkeypatch, block):
     bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"], r["matches"]) for r in contaminated(df, bench).collect()}
     want = brute(docs, dict(items).items())
-    assert {x[:2] for x in got} == {x[:2] for x in want}
+    assert got == want
     assert sorted(r["doc_id"] for r in clean(df, bench).collect()) == sorted({d for d, _ in docs} - {x[0] for x in want})
 
 
@@ -71,19 +73,6 @@ def test_substitutions_are_tolerated_and_empties_are_fine(spark):
     assert clean(df, bench.limit(0)).count() == 3
 
 
-def by_criterion(docs, items, least=8, share=0.75):
-    """The criterion alone: every diagonal, no seeds."""
-    out = set()
-    block = Items([(i, t.encode()) for i, t in items], least)
-    for d, text in docs:
-        codes = np.array([block.vocabulary.get(t, 0) for t in tokens(text.encode())], np.uint64)
-        for n, own in enumerate(block.codes):
-            runs = [block.overlap(codes, n, shift) for shift in range(-len(own) + 1, len(codes))]
-            if any(m >= min(least, len(own)) and m >= share * (end - start) for start, end, m in runs):
-                out.add((d, items[n][0]))
-    return out
-
-
 @pytest.mark.parametrize("least", [8, 5, 11])
 def test_every_overlap_that_meets_the_criterion_is_found(spark, least):
     rng = random.Random(11)
@@ -97,9 +86,45 @@ def test_every_overlap_that_meets_the_criterion_is_found(spark, least):
     fourth = items[-1][1].split()
     docs += [(1000, " ".join("zzz" if i % 4 == 3 else w for i, w in enumerate(fourth))), (1001, " ".join(["zzz"] + items[12][1].split()[1:])), (1002, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string"), least).collect()}
-    assert got == by_criterion(docs, items, least)
-    assert (1000, items[-1][0]) in got and (1001, items[12][0]) in got
+    got = {(r["doc_id"], r["item_id"], r["matches"]) for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string"), least).collect()}
+    assert got == brute(docs, items, least)
+    assert (1000, items[-1][0]) in {x[:2] for x in got} and (1001, items[12][0]) in {x[:2] for x in got}
+
+
+@pytest.mark.parametrize("least,share", [(8, 0.75), (8, 0.8), (5, 0.75), (11, 0.75), (3, 0.75), (1, 0.75)])
+def test_random_diagonals(least, share):
+    """Items against copies of themselves with random substitutions: seeds, stretches around them and the best one against the criterion alone."""
+    rng = random.Random(least)
+    found = missed = 0
+    for _ in range(1500):
+        n = rng.choice([1, 3, 6, 8, 9, 10, 12, 16, 24, 60])
+        words = [f"t{i}" for i in range(n)]
+        rate = rng.choice([0.1, 0.2, 0.25, 0.3, 0.4])
+        text = ["x"] * rng.randrange(3) + [w if rng.random() > rate else "x" for w in words] + ["x"] * rng.randrange(3)
+        block = Items([(1, b"other words"), (7, " ".join(words).encode())], least, share)
+        got = overlaps_in(" ".join(text).encode(), block, least, share)
+        want = stretches([w != "x" for w in text], min(least, n), share)
+        assert (got[1][0] if 1 in got else 0) == want, (text, got, want)
+        found, missed = found + bool(want), missed + (not want)
+    assert found > 100 and (missed > 100 or least < 8)
+
+
+def test_every_short_stretch_holds_a_seed():
+    lead, others = seeds_of(5, 8, 0.75)
+    masks = [{*range(lead), *r} for r in others]
+    for kind in short_stretches(8, 0.75):
+        ones = {i for i, c in enumerate(kind) if c == "1"}
+        assert any({i + s for i in m} <= ones for m in masks for s in range(len(kind)))
+
+
+def test_further_matches_never_take_a_report_away(spark):
+    """An item of 130 tokens: 12 of them exact, then pieces of 10 with 7 matches each, which lower the share of the whole."""
+    words = [f"t{i}" for i in range(130)]
+    exact = words[:12] + ["x"] * 118
+    more = words[:12] + [w if i % 10 < 7 else "x" for i, w in enumerate(words[12:])]
+    df = spark.createDataFrame([(1, " ".join(exact)), (2, " ".join(more)), (3, " ".join(words))], "doc_id long, text string")
+    rows = {r["doc_id"]: r["matches"] for r in contaminated(df, spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")).collect()}
+    assert rows[1] == 12 and rows[2] >= rows[1] and rows[3] == 130
 
 
 def test_short_items_are_reported_but_take_no_document_away(spark):
