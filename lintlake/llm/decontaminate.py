@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, combinations_with_replacement
 
@@ -33,6 +34,8 @@ LEAST_SHARE = 0.75
 BITMAP = 22
 #: Hits compared at once
 HITS = 1 << 18
+#: Document tokens looked at together
+TOGETHER = 1 << 18
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -157,11 +160,14 @@ class Items:
         self.hashes, self.places = self.hashes[order], self.places[order]
         self.bitmap = bitmap_of(self.hashes)
 
-    def diagonals(self, codes: np.ndarray) -> np.ndarray:
-        """Distinct (item, place in the document minus place in the item) of all seed hits in a stretch that has the matches asked for."""
+    def diagonals(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Distinct (document, item, place in the document minus place in the item) of all seed hits in a stretch that has the matches
+        asked for. Documents are looked at together, as one array in which they stand apart as items do."""
         out = []
         edge = np.zeros(self.reach + 1, np.uint64)
-        codes = np.concatenate([edge, codes, edge])
+        codes = np.concatenate([edge, *[x for p in parts for x in (p, edge)]])
+        sizes = np.array([len(p) + len(edge) for p in parts], np.int64)
+        origin = np.cumsum(sizes) - sizes + len(edge)
         for size, bitmap, kinds in self.seeds:
             leads = lead_hashes(codes, size)
             begin = np.flatnonzero(marked(bitmap, leads))
@@ -176,13 +182,14 @@ class Items:
                 cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1 if len(n) else []
                 for at, low, k in zip(np.split(hit, cuts), np.split(first, cuts), np.split(n, cuts)):
                     rows = np.repeat(low - np.cumsum(k) + k, k) + np.arange(k.sum())
-                    found = self.lasting(codes, np.repeat(at, k), self.places[rows].astype(np.int64))
-                    if len(found):
-                        out.append(np.unique(found, axis=0))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-
-    def lasting(self, codes: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """(item, shift) of hits that lie in a stretch, no longer than short ones are, with the matches asked for and their share."""
+                    where, place = self.lasting(codes, np.repeat(at, k), self.places[rows].astype(np.int64))
+                    if len(where):
+                        doc, item = np.searchsorted(origin, where, "right") - 1, np.searchsorted(self.starts, place, "right") - 1
+                        out.append(np.unique(np.stack([doc, item, where - origin[doc] - place + self.starts[item]], axis=1), axis=0))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+    def lasting(self, codes: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the documents, in the items) of hits that lie in a stretch, no longer than short ones are, with the matches asked for and their share."""
         item = np.searchsorted(self.starts, place, "right") - 1
         asked = np.minimum(self.least, self.sizes[item])
         around = range(-self.reach, self.reach + 1)
@@ -204,7 +211,7 @@ class Items:
             most = (sums[first + length] - sums[first]).max(axis=0, initial=0)
             kept |= (most >= asked[rows]) & (most >= self.share * length - 1e-9)
         rows = rows[kept]
-        return np.stack([item[rows], at[rows] - self.reach - 1 - place[rows] + self.starts[item[rows]]], axis=1)
+        return at[rows], place[rows]
 
     def overlap(self, codes: np.ndarray, item: int, shift: int) -> tuple[int, int, int]:
         """First and last + 1 document token of the stretch of most matches on the diagonal among those in which they are the share asked
@@ -233,18 +240,30 @@ def best_stretch(same: np.ndarray, share: float) -> tuple[int, int, int]:
     return int(begin[best]), int(ends[best]), int(matches[best])
 
 
-def overlaps_in(text: bytes, block: Items, least: int, share: float) -> dict[int, tuple[int, int, int, int]]:
-    """Best verified overlap per item: item number -> (matches, first token, last token + 1, tokens of the item)."""
-    found = tokens(text)
-    known = block.vocabulary
-    codes = np.fromiter((known.get(t, 0) for t in found), np.uint64, len(found))
-    best: dict[int, tuple[int, int, int, int]] = {}
-    for item, shift in block.diagonals(codes).tolist():
-        start, end, matches = block.overlap(codes, item, shift)
-        size = len(block.codes[item])
-        if matches >= min(block.least, size):
-            best[item] = max(best.get(item, (0, 0, 0, 0)), (matches, -start, -end, size))
-    return {i: (m, -s, -e, n) for i, (m, s, e, n) in best.items()}
+def overlaps(texts: list[bytes], block: Items) -> Iterator[dict[int, tuple[int, int, int, int]]]:
+    """For each text the best verified overlap per item: item number -> (matches, first token, last token + 1, tokens of the item).
+
+    Texts are taken together up to TOGETHER tokens (a longer one by itself), so that short ones do not cost a round of array calls each."""
+    known, held, total = block.vocabulary, [], 0
+
+    def judged():
+        best: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in held]
+        for doc, item, shift in block.diagonals(held).tolist():
+            start, end, matches = block.overlap(held[doc], item, shift)
+            size = len(block.codes[item])
+            if matches >= min(block.least, size):
+                best[doc][item] = max(best[doc].get(item, (0, 0, 0, 0)), (matches, -start, -end, size))
+        return [{i: (m, -s, -e, n) for i, (m, s, e, n) in b.items()} for b in best]
+
+    for text in texts:
+        found = tokens(text)
+        codes = np.fromiter((known.get(t, 0) for t in found), np.uint64, len(found))
+        if held and total + len(codes) > TOGETHER:
+            yield from judged()
+            held, total = [], 0
+        held.append(codes)
+        total += len(codes)
+    yield from judged()
 
 
 def blocks_of(benchmark: DataFrame, most: int = BLOCK_TOKENS):
@@ -280,8 +299,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKEN
             block = Items(shared.value, least, share)
             for whole in batches:
                 for b in in_parts(whole):
-                    found = [(i, block.ids[item], m, s, e, n) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
-                             for item, (m, s, e, n) in sorted(overlaps_in(t, block, least, share).items())]
+                    found = [(i, block.ids[item], m, s, e, n) for i, best in zip(b.column("doc_id").to_pylist(), overlaps(b.column("text").to_pylist(), block))
+                             for item, (m, s, e, n) in sorted(best.items())]
                     names = ["doc_id", "item_id", "matches", "first_token", "end_token", "item_tokens"]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64() if k < 2 else pa.int32()) for k in range(6)], names)
 
@@ -300,8 +319,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, shar
             block = Items(shared.value, least, share)
             for whole in batches:
                 for b in in_parts(whole):
-                    texts = b.column("text").cast(pa.binary()).to_pylist()
-                    yield b.filter(pa.array([all(m < least for m, *_ in overlaps_in(t or b"", block, least, share).values()) for t in texts], pa.bool_()))
+                    texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+                    yield b.filter(pa.array([all(m < least for m, *_ in best.values()) for best in overlaps(texts, block)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

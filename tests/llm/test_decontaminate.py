@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lintlake.llm import decontaminate
-from lintlake.llm.decontaminate import Items, clean, contaminated, overlaps_in, seeds_of, short_stretches, tokens
+from lintlake.llm.decontaminate import Items, clean, contaminated, overlaps, seeds_of, short_stretches, tokens
 
 DOCS = "doc_id long, text string, item_id string, matches string"
 
@@ -102,7 +102,7 @@ def test_random_diagonals(least, share):
         rate = rng.choice([0.1, 0.2, 0.25, 0.3, 0.4])
         text = ["x"] * rng.randrange(3) + [w if rng.random() > rate else "x" for w in words] + ["x"] * rng.randrange(3)
         block = Items([(1, b"other words"), (7, " ".join(words).encode())], least, share)
-        got = overlaps_in(" ".join(text).encode(), block, least, share)
+        _, got, _ = overlaps([b"", " ".join(text).encode(), b"x y"], block)
         want = stretches([w != "x" for w in text], min(least, n), share)
         assert (got[1][0] if 1 in got else 0) == want, (text, got, want)
         found, missed = found + bool(want), missed + (not want)
