@@ -605,7 +605,7 @@ def continuous_review_stream(spark, sf):
     """The documents arrive as a stream of Parquet files."""
     config = ReviewConfig(custom_rules=CUSTOM, framework_scope="file", enable_frameworks=("angular", "react", "node"))
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/documents*.parquet")  # files or folders of files
     arriving = stream.select(F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), F.col("text").alias("content"))
     folder = run_folder(spark, "stream")
     continuous_review(arriving, folder, config).awaitTermination()

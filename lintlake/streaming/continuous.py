@@ -38,7 +38,9 @@ def continuous_review(stream: DataFrame, out: str, config: ReviewConfig | None =
     config = config or ReviewConfig(framework_scope="file")
 
     def review_batch(files: DataFrame, batch: int) -> None:
+        files = files.persist()  # read several times below, and the state behind it looked up once
         review_files(files, config).write.mode("overwrite").parquet(f"{out}/findings/batch={batch}")
+        files.unpersist()
 
     return (unseen(stream, config, horizon).writeStream.foreachBatch(review_batch).option("checkpointLocation", f"{out}/checkpoint")
             .trigger(availableNow=True).start())
