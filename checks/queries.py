@@ -16,7 +16,7 @@ from lintlake.plans.review import review_files, review_long_files
 from lintlake.sinks import reports
 from lintlake.sources import corpus
 from lintlake.sources.derived import ROOT, code_files, long_files, text_files
-from lintlake.sources.local import run_folder, small_table
+from lintlake.sources.local import kept, run_folder, small_table
 from lintlake.streaming.continuous import continuous_review
 
 AT = "2024-01-01T00:00:00.000Z"
@@ -451,8 +451,8 @@ def _status(spark, sf):
     return fo.result_status(fo.detect_language(code_files(spark, sf)))
 
 
-def _per_file(spark, sf):
-    return summary.agg_file(_status(spark, sf), kept_findings(spark, sf))
+def _per_file(spark, sf, found=None):
+    return summary.agg_file(_status(spark, sf), kept_findings(spark, sf) if found is None else found)
 
 
 @query
@@ -490,16 +490,18 @@ def sink_json(spark, sf):
 
 @query
 def sink_markdown(spark, sf):
-    one = summary.run_summary(_status(spark, sf), kept_findings(spark, sf), "corpus")
+    found = kept(kept_findings(spark, sf), "findings")  # read twice: header and sections
+    one = summary.run_summary(_status(spark, sf), found, "corpus")
     head = reports.markdown_header(one, AT).select(F.lit("").alias("path"), "section")
-    return reports.markdown_file(_per_file(spark, sf), ROOT, AT).unionByName(head)
+    return reports.markdown_file(_per_file(spark, sf, found), ROOT, AT).unionByName(head)
 
 
 @query
 def sink_text(spark, sf):
-    one = summary.run_summary(_status(spark, sf), kept_findings(spark, sf), "corpus")
+    found = kept(kept_findings(spark, sf), "findings")  # read twice: header and sections
+    one = summary.run_summary(_status(spark, sf), found, "corpus")
     head = reports.text_header(one, AT).select(F.lit("").alias("path"), "section")
-    return reports.text_file(_per_file(spark, sf), ROOT).unionByName(head)
+    return reports.text_file(_per_file(spark, sf, found), ROOT).unionByName(head)
 
 
 @query
