@@ -90,10 +90,7 @@ class Ledger:
 
     def _review(self, files: DataFrame, paths: DataFrame, active: list[str], batch: int) -> None:
         """Findings of the named files with the frameworks that the log knows: no other file is read."""
-        config = replace(self.config, framework_scope="file")
-        if self.config.framework_scope != "file":
-            config = replace(config, enable_frameworks=tuple(active))
-        review_files(only_listed(files, paths), config).write.mode("overwrite").parquet(f"{self.folder}/findings/batch={batch}")
+        review_files(only_listed(files, paths), self.config, frameworks=active).write.mode("overwrite").parquet(f"{self.folder}/findings/batch={batch}")
 
     def update(self, files: DataFrame) -> int:
         """``files`` is the whole corpus: new and changed files are reviewed, missing ones leave the log. Returns the number of the batch."""
