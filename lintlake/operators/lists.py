@@ -39,5 +39,6 @@ def texts_with_any(texts: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def filter_whitelist_table(findings: DataFrame, names: DataFrame) -> DataFrame:
-    """Findings whose source line holds none of the names (a table with the column ``word``)."""
+    """Findings whose source line holds none of the names (a table with the column ``word``). They are read twice, so they are made once and kept."""
+    findings = kept(findings, "findings")
     return findings.join(texts_with_any(findings.select("text"), names), "text", "left_anti").select(findings.columns)
