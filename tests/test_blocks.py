@@ -34,6 +34,14 @@ def test_block_rules_of_the_review_do_not_shuffle(files_of, capsys):
     assert "Window" not in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_rows_of_one_path_are_taken_together(files_of):
+    files = fo.reviewable(files_of({"a.js": "function f(x) {\n  if (x) {\n  }\n}\n", "b.js": "function g(x) {\n  if (x) {\n  }\n}\n"}))
+    both, config = files.unionByName(files.where("path = 'a.js'")), ReviewConfig(max_complexity=1)
+    found = {(r["path"], r["line_no"], *r["args"]) for r in blocks.block_findings(both, config, True, True, True).where("uid LIKE 'C02%'").collect()}
+    want = blocks.complex_functions(blocks.extract_functions(both), config).collect()
+    assert found == {(r["path"], r["line_no"], *r["args"]) for r in want} and ("b.js", 1, "g", "2", "1") in found and ("a.js", 1, "f", "3", "1") in found
+
+
 def test_extents_are_not_quadratic():
     nested = "function f() {\n" * 50_000 + "}\n" * 50_000
     ends = blocks.file_extents(nested, list(range(1, 50_001)), False)
